@@ -85,7 +85,7 @@ _DIFF_LINE = """CASE (rn + l_partkey) % 9 WHEN 0 THEN '+add ' WHEN 1 THEN '-rem
 
 # Method spans of files: overlapping, near, far and NULL ranges; names repeat.
 FIXTURES["fx_method_span"] = """
-SELECT l_orderkey AS file_ord, side, rn AS ord, 'fn' || CAST(l_partkey % 2 AS STRING) AS name,
+SELECT l_orderkey AS file_ord, side, CAST(rn AS BIGINT) AS ord, 'fn' || CAST(l_partkey % 2 AS STRING) AS name,
  CASE WHEN l_suppkey % 37 = 0 AND side = 'before' THEN CAST(NULL AS BIGINT) ELSE 1 + CAST(l_quantity AS BIGINT) + CASE side WHEN 'before' THEN l_suppkey % 30 WHEN 'after' THEN l_suppkey % 2 ELSE 0 END END AS start_line,
  1 + CAST(l_quantity AS BIGINT) + CASE side WHEN 'before' THEN l_suppkey % 30 WHEN 'after' THEN l_suppkey % 2 ELSE 0 END + rn - CASE WHEN l_suppkey % 41 = 0 THEN 9 ELSE 0 END AS end_line
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) l CROSS JOIN (SELECT 'changed' AS side UNION ALL SELECT 'before' UNION ALL SELECT 'after') s"""
@@ -131,7 +131,7 @@ SELECT 'https://github.com/o/r' || CAST((doc_id - doc_id % 40) % 9 AS STRING) AS
  md5(CAST(doc_id - doc_id % 40 AS STRING)) || substr(md5('s' || CAST(doc_id - doc_id % 40 AS STRING)), 1, 8) AS commit_sha, doc_id % 40 AS file_ord,
  side, ord, name, start_line + CASE WHEN side = 'after' AND name = 'beta' THEN doc_id % 3 - 1 WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END AS start_line, end_line + CASE WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END AS end_line
 FROM documents CROSS JOIN (
- SELECT 'changed' AS side, 1 AS ord, 'alpha' AS name, CAST(2 AS BIGINT) AS start_line, CAST(5 AS BIGINT) AS end_line
+ SELECT 'changed' AS side, CAST(1 AS BIGINT) AS ord, 'alpha' AS name, CAST(2 AS BIGINT) AS start_line, CAST(5 AS BIGINT) AS end_line
  UNION ALL SELECT 'changed', 2, 'beta', 6, 9 UNION ALL SELECT 'changed', 3, '(anonymous)', 1, 2 UNION ALL SELECT 'changed', 4, 'alpha', 2, 5
  UNION ALL SELECT 'changed', 5, 'far', 10, 12 UNION ALL SELECT 'changed', 6, 'gone', 1, 4 UNION ALL SELECT 'changed', 7, 'blocky', 8, 9 UNION ALL SELECT 'changed', 8, 'alpha', 3, 3
  UNION ALL SELECT 'before', 1, 'alpha', 1, 4 UNION ALL SELECT 'before', 2, 'beta', 4, 7 UNION ALL SELECT 'before', 3, 'beta', 5, 7 UNION ALL SELECT 'before', 4, '(anonymous)', 1, 2

@@ -63,24 +63,30 @@ def suffix(name: Column) -> Column:
     return F.regexp_extract(name, _SUFFIX, 1)
 
 
-def _literal(words: list[str]) -> str:
-    return "|".join(word.replace(".", r"\.") for word in words)
+def _any_of(words: list[str]) -> str:
+    return "(?:" + "|".join(word.replace(".", r"\.") for word in words) + ")"
+
+
+# One pattern over the lower-cased path, so that the path is evaluated once per
+# row: empty, or a skipped last part, or a skipped part anywhere.
+_LAST_PART = "|".join(
+    [
+        _any_of(SKIPPED_NAMES),
+        r"[^/]+" + _any_of(SKIPPED_EXTENSIONS),
+        r"[^/]*\.min\.[^/]*",
+        r"test_[^/]*",
+        r"[^/]*_test(?:\.[^/.]+)?",
+    ]
+)
+_SKIPPED_PATH = (
+    rf"\A\z|(?:\A|/)(?:{_LAST_PART})(?:/+\.?)*\z"
+    rf"|(?:\A|/){_any_of(SKIPPED_FOLDERS)}(?:/|\z)"
+)
 
 
 def skip_file(path: Column) -> Column:
     """True for files that carry no code worth keeping; NULL and empty are skipped."""
-    plain = F.lower(F.translate(path, "\\", "/"))
-    name = file_name(plain)
-    decided = (
-        (path == "")
-        | name.isin(SKIPPED_NAMES)
-        | suffix(name).isin(SKIPPED_EXTENSIONS)
-        | name.contains(".min.")
-        | plain.rlike(rf"(?:\A|/)(?:{_literal(SKIPPED_FOLDERS)})(?:/|\z)")
-        | name.startswith("test_")
-        | name.rlike(r"(?s)_test(?:\.[^.]+)?\z")
-    )
-    return F.coalesce(decided, F.lit(True))
+    return F.coalesce(F.lower(F.translate(path, "\\", "/")).rlike(_SKIPPED_PATH), F.lit(True))
 
 
 def detect_language(path: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,10 @@ from fixweave.functions.code import (
 from fixweave.functions.paths import first_path, skip_file
 from fixweave.functions.pytext import not_blank, raw_lines, strip
 from fixweave.functions.urls import detect_platform
-from fixweave.operators.pairing import FILE_KEYS, WIDE_FROM, distinct_spans, pair_after, pair_before, pair_match, valid_pairs
+from fixweave.operators.pairing import (
+    FILE_KEYS, WIDE_FROM, distinct_spans, pair_after, pair_before, pair_match, valid_pairs,
+)
+from fixweave.session import staged
 
 COMMIT_KEYS = ["repo_url", "commit_sha"]
 PAIR_LINES = ["vuln_start_line", "vuln_end_line", "patched_start_line", "patched_end_line"]
@@ -83,16 +84,12 @@ def drop_bulk_refactor(pairs: DataFrame, keys: list[str] = COMMIT_KEYS, threshol
     return kept.where(F.col("_bulk").isNull()).select(*pairs.columns)
 
 
-def pair_functions(
-    files: DataFrame,
-    spans: DataFrame,
-    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
-    wide_from: int = WIDE_FROM,
-) -> DataFrame:
+def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM) -> DataFrame:
     """Vulnerable and patched versions of changed functions, strict rules.
 
-    ``files`` and ``spans`` follow the FILE_CHANGE and METHOD_SPAN schemas.
-    ``stage`` may store the intermediate pairs (see ``fixweave.session.staged``).
+    ``files`` and ``spans`` follow the FILE_CHANGE and METHOD_SPAN schemas. The
+    changed methods and the cut pairs are stored in between, since both are
+    read twice.
     """
     old, new = F.col("old_path"), F.col("new_path")
     usable = files.where(~skip_file(first_path(old, new))).where(
@@ -101,16 +98,19 @@ def pair_functions(
 
     named = spans.where(valid_method_name(F.col("name")))
     # Equal changed spans lead to equal pairs, of which only the first is kept.
-    changed = distinct_spans(_side(named, "changed"), FILE_KEYS).join(usable, FILE_KEYS)
-    paired = pair_before(changed, _side(named, "before"), wide_from=wide_from)
-    paired = pair_after(paired, _side(named, "after"), wide_from=wide_from)
+    changed = staged(distinct_spans(_side(named, "changed"), FILE_KEYS).join(usable, FILE_KEYS), "changed")
+    # The two searches are independent; chained, the second would repeat the first.
+    before = pair_before(changed, _side(named, "before"), wide_from=wide_from)
+    after = pair_after(changed, _side(named, "after"), wide_from=wide_from)
+    place = [*FILE_KEYS, "ord"]
+    paired = before.join(after.select(*place, "after_ord", "after_start", "after_end"), place)
     chosen = valid_pairs(pair_match(paired)).select(
         *FILE_KEYS, "ord", "file_path", strip(F.col("name")).alias("method_name"),
         F.col("before_start").alias("vuln_start_line"), F.col("before_end").alias("vuln_end_line"),
         F.col("after_start").alias("patched_start_line"), F.col("after_end").alias("patched_end_line"),
     )
     code = extract_code(attach_source(dedup_spans(chosen), files))
-    return drop_bulk_refactor(stage(code))
+    return drop_bulk_refactor(staged(code, "pairs"))
 
 
 def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:

@@ -31,16 +31,14 @@ class Enriched:
         return enrich_counters(self.outcomes, self.patches)
 
 
-def enrich(
-    wanted: DataFrame, fetched: DataFrame, files: DataFrame, spans: DataFrame, stage=lambda df: df
-) -> Enriched:
+def enrich(wanted: DataFrame, fetched: DataFrame, files: DataFrame, spans: DataFrame) -> Enriched:
     """Rows for the commits of a backlog from the landed tables.
 
     Failed commits are not stored and so stay in the backlog. A commit listed
     under two URLs yields its function rows twice (see ``backlog``).
     """
     keys = ["repo_url", "commit_sha"]
-    outcomes = stage(commit_outcome(wanted.join(fetched, keys, "left")))
+    outcomes = staged(commit_outcome(wanted.join(fetched, keys, "left")), "outcomes")
     usable = sha_exact(outcomes.where(F.col("skip_reason").isNull()))
     commits = usable.select(
         "repo_url", F.col("commit_sha").alias("sha"), "commit_url",
@@ -51,9 +49,10 @@ def enrich(
 
     # File texts are not joined here: patches need the diff only, and functions
     # pick up the texts once their spans are chosen.
-    patches = build_patches(files.drop("source_before", "source_after").join(urls.select(*keys).distinct(), keys, "left_semi"))
-    todo_spans = spans.join(urls.select(*keys).distinct(), keys, "left_semi")
-    pairs = stage(pair_functions(files, todo_spans, stage))
+    narrow_files = files.drop("source_before", "source_after")
+    patches = build_patches(narrow_files.join(urls, keys, "left_semi"))
+    todo_spans = spans.join(urls, keys, "left_semi")
+    pairs = pair_functions(files, todo_spans)
     functions = dedup_functions(meaningful_pairs(pairs)).join(urls, keys)
     return Enriched(outcomes, commits, patches, functions, function_counters(pairs))
 
@@ -68,7 +67,7 @@ def enrich_commits(
 ) -> Enriched:
     """Run the enrichment of the stored backlog and publish the new tables."""
     wanted = staged(backlog(store.read("cve_commit"), store.read("commits"), limit, unique_commit=unique_commit), "backlog")
-    run = enrich(wanted, fetched, files, spans, staged)
+    run = enrich(wanted, fetched, files, spans)
     patches = staged(with_row_id(run.patches, "patch_id", schemas.KEYS["patch"]), "patches")
     store.publish(
         {

@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """Schema of a flat table from ``name type, name type, ...``; needs no session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 # ---- stored tables -------------------------------------------------------
@@ -69,17 +84,22 @@ FETCH_LOG = _table("seq bigint, repo_url string, phase string, ok boolean, messa
 # ---- the nested record; only the paths that are read ----------------------
 # A metric is a map because its keys are not known; its values stay JSON text.
 CORRUPT = "_corrupt_record"
-RECORD = _table(
-    "dataType string, dataVersion string, "
-    "cveMetadata struct<cveId: string, state: string, datePublished: string>, "
-    "containers struct<cna: struct<"
-    "title: string, "
-    "descriptions: array<struct<lang: string, value: string>>, "
-    "affected: array<struct<product: string>>, "
-    "problemTypes: array<struct<descriptions: array<struct<type: string, cweId: string>>>>, "
-    "metrics: array<map<string, string>>, "
-    "references: array<struct<url: string>>>>, "
-    f"{CORRUPT} string"
+_STRING = T.StringType()
+RECORD = _struct(
+    dataType=_STRING,
+    dataVersion=_STRING,
+    cveMetadata=_struct(cveId=_STRING, state=_STRING, datePublished=_STRING),
+    containers=_struct(
+        cna=_struct(
+            title=_STRING,
+            descriptions=T.ArrayType(_struct(lang=_STRING, value=_STRING)),
+            affected=T.ArrayType(_struct(product=_STRING)),
+            problemTypes=T.ArrayType(_struct(descriptions=T.ArrayType(_struct(type=_STRING, cweId=_STRING)))),
+            metrics=T.ArrayType(T.MapType(_STRING, _STRING)),
+            references=T.ArrayType(_struct(url=_STRING)),
+        )
+    ),
+    _corrupt_record=_STRING,
 )
 CVSS = _table("version string, baseScore string, baseSeverity string, vectorString string")
 

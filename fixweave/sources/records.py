@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The archive reader is sent along with its tasks, so that workers need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---- fixed values: which archive entries are records
 RECORD_FOLDER = "cves/"
 RECORD_PREFIX = "CVE-"
