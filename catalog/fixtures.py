@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fixweave.session import staged
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -174,13 +176,26 @@ def with_fixtures(names: list[str], body: str) -> str:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; one that has fewer splits than there are cores is spread over them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+_LANDED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a DataFrame over the tables of ``sf_dir``."""
-    sql = fixture_sql(name, "spark")
-    for table in BASE_TABLES:
-        if f" {table} " in f"{sql} ".replace("\n", " ").replace(")", " "):
-            base(spark, sf_dir, table).createOrReplaceTempView(table)
-    return spark.sql(sql)
+    """A fixture as a landed table, the form in which the operators get their inputs.
+
+    Spark derives it from the tables of ``sf_dir`` and writes it to the shared
+    folder, once per application; later queries scan what is landed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LANDED:
+        sql = fixture_sql(name, "spark")
+        for table in BASE_TABLES:
+            if f" {table} " in f"{sql} ".replace("\n", " ").replace(")", " "):
+                base(spark, sf_dir, table).createOrReplaceTempView(table)
+        _LANDED[key] = staged(spark.sql(sql), name)
+    return _LANDED[key]

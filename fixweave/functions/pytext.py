@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # Characters at which str.splitlines cuts (body of a character class).
 BREAK_CHARS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_BREAK = rf"\r\n|[{BREAK_CHARS}]"
+OTHER_BREAK = rf"\r\n|[{BREAK_CHARS}&&[^\n]]"
 LINE_START = rf"(?<![^{BREAK_CHARS}])"
 LINE_BODY = rf"[^{BREAK_CHARS}]*"
 
@@ -42,13 +43,19 @@ def drop_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U){SPACE}+", "")
 
 
+def plain_breaks(text: Column) -> Column:
+    """Turn every line break into a single line feed."""
+    return F.regexp_replace(text, OTHER_BREAK, "\n")
+
+
 def raw_lines(text: Column) -> Column:
     """Lines of ``text``, with one extra ``''`` when it is empty or ends in a break.
 
-    Kept apart from :func:`line_total` so that callers can stage the array in
-    its own projection and read it several times for one split.
+    Kept apart from :func:`line_total` so that callers can compute the array once
+    and read it several times. Splitting at one plain character needs no regular
+    expression, which is why the other breaks are replaced first.
     """
-    return F.split(text, LINE_BREAK, -1)
+    return F.split(plain_breaks(text), "\n", -1)
 
 
 def line_total(lines: Column) -> Column:

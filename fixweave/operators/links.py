@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fixweave.frames import computed
 from fixweave.functions.urls import parse_commit_url, reference_kind
 from fixweave.operators.records import cve_id, reference_urls
 
@@ -24,10 +25,9 @@ def reference_rows(parsed: DataFrame, *carry: str) -> DataFrame:
 
 def commit_references(parsed: DataFrame, *carry: str) -> DataFrame:
     """Links to commits on known hosts: cve_id, repo_url, commit_sha, commit_url, platform."""
+    commits = reference_rows(parsed, *carry).where(F.col("kind") == "commit")
     return (
-        reference_rows(parsed, *carry)
-        .where(F.col("kind") == "commit")
-        .withColumn("link", parse_commit_url(F.col("url")))
+        computed(commits, {"link": parse_commit_url(F.col("url"))})
         .where(F.col("link").isNotNull())
         .select(
             *carry, "cve_id", "ref_ord",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixweave.frames import computed
 from fixweave.functions.code import (
     block_text, change_reason, code_block, looks_like_function, valid_method_name,
 )
@@ -51,14 +52,15 @@ def attach_source(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 def extract_code(sourced: DataFrame) -> DataFrame:
     """Cut the spans out of the file texts and drop what is no complete function pair."""
-    staged = sourced.withColumns(
-        {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))}
+    split = computed(
+        sourced, {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))}
     ).drop("source_before", "source_after")
-    cut = staged.withColumns(
+    cut = computed(
+        split,
         {
             "vuln_function": code_block(F.col("_before"), F.col("vuln_start_line"), F.col("vuln_end_line")),
             "patch_function": code_block(F.col("_after"), F.col("patched_start_line"), F.col("patched_end_line")),
-        }
+        },
     ).drop("_before", "_after")
     return complete_pairs(cut).where(
         looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function"))
@@ -157,22 +159,24 @@ def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:
         F.col("b.before.start_line").alias("vuln_start_line"), F.col("b.before.end_line").alias("vuln_end_line"),
         after("start_line").alias("patched_start_line"), after("end_line").alias("patched_end_line"),
     )
-    staged = attach_source(dedup_spans(chosen), files).withColumns(
-        {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))}
+    split = computed(
+        attach_source(dedup_spans(chosen), files),
+        {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))},
     )
 
     def plain_block(lines: str, start: str, end: str) -> Column:
         text = block_text(F.col(lines), F.col(start), F.col(end))
         return F.when(not_blank(text), text)
 
-    cut = staged.withColumns(
+    cut = computed(
+        split,
         {
             "vuln_function": plain_block("_before", "vuln_start_line", "vuln_end_line"),
             "patch_function": F.when(
                 _has_text("source_after"), plain_block("_after", "patched_start_line", "patched_end_line")
             ),
             "platform": detect_platform(F.col("repo_url")),
-        }
+        },
     )
     return cut.where(F.col("vuln_function").isNotNull() | F.col("patch_function").isNotNull()).drop(
         "_before", "_after", "source_before", "source_after"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixweave import schemas
+from fixweave.frames import computed
 from fixweave.functions.urls import OTHER_KIND, REFERENCE_KINDS, reference_kind, url_is_malformed
 
 # ---- fixed values: defaults and messages -----------------------------------
@@ -50,7 +51,7 @@ def parse_status(value: Column, record: Column) -> Column:
 
 def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
     """Add ``record`` (the nested struct) and ``status`` to rows of record text."""
-    parsed = raw.withColumn("record", F.from_json(F.col(value), schemas.RECORD, _JSON_OPTIONS))
+    parsed = computed(raw, {"record": F.from_json(F.col(value), schemas.RECORD, _JSON_OPTIONS)})
     return parsed.withColumn("status", parse_status(F.col(value), F.col("record")))
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixweave import schemas
-from fixweave.operators.links import backlog, commit_references, link_rows
+from fixweave.operators.links import commit_references, link_rows
 from fixweave.operators.merge import merge_coalesce, merge_overwrite
 from fixweave.operators.records import (
-    drop_rejected, flatten_cve, good_records, ingest_counters, limit_processed, outcome, parse_records,
+    best_cvss, drop_rejected, flatten_cve, good_records, ingest_counters, limit_processed, outcome, parse_records,
 )
 from fixweave.session import staged
 from fixweave.sources.store import TableStore, should_run, upsert_sync_state
@@ -65,15 +65,15 @@ def ingest_release(
 
 
 def open_fixes(parsed: DataFrame, commits: DataFrame) -> DataFrame:
-    """Fix commits of non-rejected records that are not fetched yet, by platform and severity."""
-    accepted = drop_rejected(good_records(parsed))
-    references = commit_references(accepted)
-    missing = backlog(references, commits).select("repo_url", "commit_sha").distinct()
-    severities = flatten_cve(accepted).select("cve_id", "severity")
-    wanted = references.select("cve_id", "repo_url", "commit_sha", "platform").distinct()
-    return (
-        wanted.join(missing, ["repo_url", "commit_sha"], "left_semi")
-        .join(severities, "cve_id")
-        .groupBy("platform", F.coalesce("severity", F.lit("NONE")).alias("severity"))
-        .agg(F.count("*").alias("open_links"))
+    """Fix commits of non-rejected records that are not fetched yet, by platform and severity.
+
+    The severity travels with the links, so a record is parsed once and the
+    record table is not joined to its own links.
+    """
+    accepted = drop_rejected(good_records(parsed)).withColumn("severity", best_cvss(F.col("record"))["severity"])
+    links = commit_references(accepted, "severity").select(
+        "cve_id", "repo_url", "commit_sha", "platform", F.coalesce("severity", F.lit("NONE")).alias("severity")
     )
+    stored = commits.select("repo_url", F.col("sha").alias("commit_sha"))
+    missing = links.distinct().join(stored, ["repo_url", "commit_sha"], "left_anti")
+    return missing.groupBy("platform", "severity").agg(F.count("*").alias("open_links"))
