@@ -104,12 +104,17 @@ def clean_code(text: Column) -> Column:
     return F.regexp_replace(body, rf"(?U)\A{SPACE}*(?:\n|\z)", "")
 
 
-def code_block(lines: Column, start: Column, end: Column) -> Column:
-    """Cleaned text of a span, NULL when nothing but blanks is left."""
-    cleaned = clean_code(block_text(lines, start, end))
+def clean_block(text: Column) -> Column:
+    """Cleaned text of a cut block, NULL when nothing but blanks is left."""
+    cleaned = clean_code(text)
     return F.when(not_blank(cleaned), cleaned)
 
 
+def code_block(lines: Column, start: Column, end: Column) -> Column:
+    """Cleaned lines ``start..end``, NULL when nothing but blanks is left."""
+    return clean_block(block_text(lines, start, end))
+
+
 def looks_like_function(code: Column) -> Column:
     """False for blank code and for blocks that open with catch, else, case and so on."""
     line = first_line(code)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fixweave.frames import computed
 from fixweave.functions.code import (
-    block_text, change_reason, code_block, looks_like_function, valid_method_name,
+    block_text, change_reason, clean_block, looks_like_function, valid_method_name,
 )
 from fixweave.functions.paths import first_path, skip_file
 from fixweave.functions.pytext import not_blank, raw_lines, strip
@@ -21,6 +21,8 @@ COMMIT_KEYS = ["repo_url", "commit_sha"]
 PAIR_LINES = ["vuln_start_line", "vuln_end_line", "patched_start_line", "patched_end_line"]
 # ---- fixed value: more equal-length pairs than this in a commit are a bulk edit
 BULK_THRESHOLD = 10
+# Spans that are cut from one split of a file text.
+SPANS_PER_CHUNK = 1000
 
 
 def _side(spans: DataFrame, side: str) -> DataFrame:
@@ -44,28 +46,51 @@ def dedup_spans(pairs: DataFrame) -> DataFrame:
 def attach_source(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Bring the two file texts to the chosen spans, by file key.
 
-    Called once, after all choices on narrow rows are made: the texts meet one
-    join and are cut to single functions in the same stage.
+    Called once, after all choices on narrow rows are made, so the texts meet
+    one join only.
     """
     return pairs.join(files.select(*FILE_KEYS, "source_before", "source_after"), FILE_KEYS)
 
 
-def extract_code(sourced: DataFrame) -> DataFrame:
-    """Cut the spans out of the file texts and drop what is no complete function pair."""
+def cut_blocks(pairs: DataFrame, files: DataFrame, per_chunk: int = SPANS_PER_CHUNK) -> DataFrame:
+    """Add ``vuln_text`` and ``patch_text``, the raw lines of both spans.
+
+    A file with many functions is not copied and split once per function: the
+    spans of a file meet its text in chunks of at most ``per_chunk``, and each
+    chunk cuts all of its blocks from one split. All steps up to the cut share
+    the partitioning by file.
+    """
+    fields = [name for name in pairs.columns if name not in FILE_KEYS]
+    position = F.row_number().over(Window.partitionBy(*FILE_KEYS).orderBy("ord", *PAIR_LINES)) - 1
+    chunks = (
+        pairs.withColumn("_chunk", F.floor(position / per_chunk))
+        .groupBy(*FILE_KEYS, "_chunk")
+        .agg(F.collect_list(F.struct(*fields)).alias("_spans"))
+    )
     split = computed(
-        sourced, {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))}
-    ).drop("source_before", "source_after")
-    cut = computed(
-        split,
-        {
-            "vuln_function": code_block(F.col("_before"), F.col("vuln_start_line"), F.col("vuln_end_line")),
-            "patch_function": code_block(F.col("_after"), F.col("patched_start_line"), F.col("patched_end_line")),
-        },
-    ).drop("_before", "_after")
-    return complete_pairs(cut).where(
-        looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function"))
+        attach_source(chunks, files),
+        {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))},
     )
 
+    def cut(span: Column) -> Column:
+        return F.struct(
+            *[span[name].alias(name) for name in fields],
+            block_text(F.col("_before"), span["vuln_start_line"], span["vuln_end_line"]).alias("vuln_text"),
+            block_text(F.col("_after"), span["patched_start_line"], span["patched_end_line"]).alias("patch_text"),
+        )
+
+    return split.select(*FILE_KEYS, F.inline(F.transform("_spans", cut)))
+
+
+def extract_code(blocks: DataFrame) -> DataFrame:
+    """Clean the cut blocks and drop what is no complete function pair."""
+    cleaned = {
+        "vuln_function": clean_block(F.col("vuln_text")),
+        "patch_function": clean_block(F.col("patch_text")),
+    }
+    code = complete_pairs(computed(blocks, cleaned).drop("vuln_text", "patch_text"))
+    return code.where(looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function")))
+
 
 def complete_pairs(pairs: DataFrame) -> DataFrame:
     """Both sides present."""
@@ -111,7 +136,7 @@ def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FRO
         F.col("before_start").alias("vuln_start_line"), F.col("before_end").alias("vuln_end_line"),
         F.col("after_start").alias("patched_start_line"), F.col("after_end").alias("patched_end_line"),
     )
-    code = extract_code(attach_source(dedup_spans(chosen), files))
+    code = extract_code(cut_blocks(dedup_spans(chosen), files))
     return drop_bulk_refactor(staged(code, "pairs"))
 
 
@@ -159,27 +184,18 @@ def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:
         F.col("b.before.start_line").alias("vuln_start_line"), F.col("b.before.end_line").alias("vuln_end_line"),
         after("start_line").alias("patched_start_line"), after("end_line").alias("patched_end_line"),
     )
-    split = computed(
-        attach_source(dedup_spans(chosen), files),
-        {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))},
-    )
-
-    def plain_block(lines: str, start: str, end: str) -> Column:
-        text = block_text(F.col(lines), F.col(start), F.col(end))
-        return F.when(not_blank(text), text)
+    def plain(text: str) -> Column:
+        return F.when(not_blank(F.col(text)), F.col(text))
 
-    cut = computed(
-        split,
+    cut = cut_blocks(dedup_spans(chosen), files).withColumns(
         {
-            "vuln_function": plain_block("_before", "vuln_start_line", "vuln_end_line"),
-            "patch_function": F.when(
-                _has_text("source_after"), plain_block("_after", "patched_start_line", "patched_end_line")
-            ),
+            "vuln_function": plain("vuln_text"),
+            "patch_function": plain("patch_text"),
             "platform": detect_platform(F.col("repo_url")),
-        },
+        }
     )
     return cut.where(F.col("vuln_function").isNotNull() | F.col("patch_function").isNotNull()).drop(
-        "_before", "_after", "source_before", "source_after"
+        "vuln_text", "patch_text"
     )
 
 
