@@ -90,7 +90,7 @@ FIXTURES["fx_method_span"] = """
 SELECT l_orderkey AS file_ord, side, CAST(rn AS BIGINT) AS ord, 'fn' || CAST(l_partkey % 2 AS STRING) AS name,
  CASE WHEN l_suppkey % 37 = 0 AND side = 'before' THEN CAST(NULL AS BIGINT) ELSE 1 + CAST(l_quantity AS BIGINT) + CASE side WHEN 'before' THEN l_suppkey % 30 WHEN 'after' THEN l_suppkey % 2 ELSE 0 END END AS start_line,
  1 + CAST(l_quantity AS BIGINT) + CASE side WHEN 'before' THEN l_suppkey % 30 WHEN 'after' THEN l_suppkey % 2 ELSE 0 END + rn - CASE WHEN l_suppkey % 41 = 0 THEN 9 ELSE 0 END AS end_line
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) l CROSS JOIN (SELECT 'changed' AS side UNION ALL SELECT 'before' UNION ALL SELECT 'after') s"""
+FROM (SELECT *, @SIDES@ AS side FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) l) s"""
 
 # Code pairs: blank-only, comment-only, equal-length and real changes, NULLs, repeats.
 FIXTURES["fx_function_pair"] = """
@@ -132,14 +132,7 @@ FIXTURES["fx_source_span"] = """
 SELECT 'https://github.com/o/r' || CAST((doc_id - doc_id % 40) % 9 AS STRING) AS repo_url,
  md5(CAST(doc_id - doc_id % 40 AS STRING)) || substr(md5('s' || CAST(doc_id - doc_id % 40 AS STRING)), 1, 8) AS commit_sha, doc_id % 40 AS file_ord,
  side, ord, name, start_line + CASE WHEN side = 'after' AND name = 'beta' THEN doc_id % 3 - 1 WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END AS start_line, end_line + CASE WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END AS end_line
-FROM documents CROSS JOIN (
- SELECT 'changed' AS side, CAST(1 AS BIGINT) AS ord, 'alpha' AS name, CAST(2 AS BIGINT) AS start_line, CAST(5 AS BIGINT) AS end_line
- UNION ALL SELECT 'changed', 2, 'beta', 6, 9 UNION ALL SELECT 'changed', 3, '(anonymous)', 1, 2 UNION ALL SELECT 'changed', 4, 'alpha', 2, 5
- UNION ALL SELECT 'changed', 5, 'far', 10, 12 UNION ALL SELECT 'changed', 6, 'gone', 1, 4 UNION ALL SELECT 'changed', 7, 'blocky', 8, 9 UNION ALL SELECT 'changed', 8, 'alpha', 3, 3
- UNION ALL SELECT 'before', 1, 'alpha', 1, 4 UNION ALL SELECT 'before', 2, 'beta', 4, 7 UNION ALL SELECT 'before', 3, 'beta', 5, 7 UNION ALL SELECT 'before', 4, '(anonymous)', 1, 2
- UNION ALL SELECT 'before', 5, 'far', 9, 11 UNION ALL SELECT 'before', 6, 'alpha', CAST(NULL AS BIGINT), 4 UNION ALL SELECT 'before', 7, 'blocky', 8, 9 UNION ALL SELECT 'before', 8, 'gone', 0, 4
- UNION ALL SELECT 'after', 1, 'alpha', 2, 5 UNION ALL SELECT 'after', 2, 'beta', 6, 8 UNION ALL SELECT 'after', 3, 'far', 10, 12 UNION ALL SELECT 'after', 4, '(anonymous)', 1, 2
- UNION ALL SELECT 'after', 5, 'blocky', 8, 9 UNION ALL SELECT 'after', 6, 'alpha', 2, 5) s"""
+FROM (SELECT *, s.side AS side, s.ord AS ord, s.name AS name, s.first AS start_line, s.last AS end_line FROM (SELECT doc_id, @SPANS@ AS s FROM documents) d) x"""
 
 # Landed fetch results for linked commits: usable, not found, closed, failed.
 FIXTURES["fx_commit_raw"] = f"""
@@ -159,14 +152,51 @@ SELECT event_id AS seq, CASE WHEN user_id % 10 = 0 THEN 'https://sourceforge.net
  CASE event_id % 9 WHEN 1 THEN 'fatal: could not read Username for host' WHEN 2 THEN 'Authentication failed' WHEN 3 THEN 'remote: Repository not found.' WHEN 4 THEN 'terminal prompts disabled' WHEN 5 THEN 'Access denied' WHEN 6 THEN 'timeout' WHEN 7 THEN 'project not found' WHEN 8 THEN 'early EOF' ELSE '' END AS message
 FROM events"""
 
-_JOIN_LINES = {
-    "spark": f"LISTAGG({_DIFF_LINE}, chr(10)) WITHIN GROUP (ORDER BY rn)",
-    "duckdb": f"STRING_AGG({_DIFF_LINE}, chr(10) ORDER BY rn)",
+# Spans of every file: side, position, name, first and last line.
+_SOURCE_SPANS = [
+    ("changed", 1, "alpha", 2, 5), ("changed", 2, "beta", 6, 9), ("changed", 3, "(anonymous)", 1, 2), ("changed", 4, "alpha", 2, 5),
+    ("changed", 5, "far", 10, 12), ("changed", 6, "gone", 1, 4), ("changed", 7, "blocky", 8, 9), ("changed", 8, "alpha", 3, 3),
+    ("before", 1, "alpha", 1, 4), ("before", 2, "beta", 4, 7), ("before", 3, "beta", 5, 7), ("before", 4, "(anonymous)", 1, 2),
+    ("before", 5, "far", 9, 11), ("before", 6, "alpha", None, 4), ("before", 7, "blocky", 8, 9), ("before", 8, "gone", 0, 4),
+    ("after", 1, "alpha", 2, 5), ("after", 2, "beta", 6, 8), ("after", 3, "far", 10, 12), ("after", 4, "(anonymous)", 1, 2),
+    ("after", 5, "blocky", 8, 9), ("after", 6, "alpha", 2, 5),
+]
+
+
+def _span_list(template: str) -> str:
+    def big(value: int | None) -> str:
+        return f"CAST({'NULL' if value is None else value} AS BIGINT)"
+
+    return ", ".join(
+        template.format(side=side, ord=big(ord_), name=name, first=big(first), last=big(last))
+        for side, ord_, name, first, last in _SOURCE_SPANS
+    )
+
+
+# The few expressions that the two dialects spell differently.
+_DIALECTS = {
+    "spark": {
+        "@JOIN_LINES@": f"LISTAGG({_DIFF_LINE}, chr(10)) WITHIN GROUP (ORDER BY rn)",
+        "@SIDES@": "explode(array('changed', 'before', 'after'))",
+        "@SPANS@": "explode(array("
+        + _span_list("named_struct('side', '{side}', 'ord', {ord}, 'name', '{name}', 'first', {first}, 'last', {last})")
+        + "))",
+    },
+    "duckdb": {
+        "@JOIN_LINES@": f"STRING_AGG({_DIFF_LINE}, chr(10) ORDER BY rn)",
+        "@SIDES@": "unnest(['changed', 'before', 'after'])",
+        "@SPANS@": "unnest(["
+        + _span_list("{{'side': '{side}', 'ord': {ord}, 'name': '{name}', 'first': {first}, 'last': {last}}}")
+        + "])",
+    },
 }
 
 
 def fixture_sql(name: str, dialect: str) -> str:
-    return FIXTURES[name].replace("@JOIN_LINES@", _JOIN_LINES[dialect])
+    sql = FIXTURES[name]
+    for mark, text in _DIALECTS[dialect].items():
+        sql = sql.replace(mark, text)
+    return sql
 
 
 def with_fixtures(names: list[str], body: str) -> str:

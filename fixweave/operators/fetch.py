@@ -83,10 +83,14 @@ def commit_outcome(fetched: DataFrame) -> DataFrame:
 
 def enrich_counters(outcomes: DataFrame, patches: DataFrame) -> DataFrame:
     """One row: commits found, saved and failed, and patches saved."""
-    commits = outcomes.agg(
-        F.count("*").alias("commits_found"),
-        F.count_if(F.col("skip_reason").isNull()).alias("commits_saved"),
-        F.count_if(F.col("skip_reason").isNotNull()).alias("commits_failed"),
+    failed = F.col("skip_reason").isNotNull()
+    zero = F.lit(0).cast("bigint")
+    commits = outcomes.select(
+        F.lit(1).alias("commits_found"), (~failed).cast("int").alias("commits_saved"),
+        failed.cast("int").alias("commits_failed"), zero.alias("patches_saved"),
     )
-    # Both sides are one-row aggregates.
-    return commits.crossJoin(patches.agg(F.count("*").alias("patches_saved")))
+    saved = patches.select(
+        zero.alias("commits_found"), zero.alias("commits_saved"), zero.alias("commits_failed"), F.lit(1).alias("patches_saved")
+    )
+    counters = commits.unionByName(saved)
+    return counters.agg(*[F.coalesce(F.sum(name), zero).alias(name) for name in counters.columns])

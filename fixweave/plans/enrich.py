@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fixweave import schemas
 from fixweave.operators.fetch import commit_outcome, enrich_counters, sha_exact
 from fixweave.operators.links import backlog
-from fixweave.operators.merge import append_functions, merge_coalesce, with_row_id
+from fixweave.operators.merge import append_functions, with_row_id
 from fixweave.operators.methods import dedup_functions, function_counters, meaningful_pairs, pair_functions
 from fixweave.operators.patches import build_patches
 from fixweave.session import staged
@@ -50,7 +50,9 @@ def enrich(wanted: DataFrame, fetched: DataFrame, files: DataFrame, spans: DataF
     # File texts are not joined here: patches need the diff only, and functions
     # pick up the texts once their spans are chosen.
     narrow_files = files.drop("source_before", "source_after")
-    patches = build_patches(narrow_files.join(urls, keys, "left_semi"))
+    patches = with_row_id(
+        build_patches(narrow_files.join(urls, keys, "left_semi")), "patch_id", schemas.KEYS["patch"]
+    )
     todo_spans = spans.join(urls, keys, "left_semi")
     pairs = pair_functions(files, todo_spans)
     functions = dedup_functions(meaningful_pairs(pairs)).join(urls, keys)
@@ -65,18 +67,17 @@ def enrich_commits(
     limit: int | None = None,
     unique_commit: bool = False,
 ) -> Enriched:
-    """Run the enrichment of the stored backlog and publish the new tables."""
+    """Run the enrichment of the stored backlog and publish the new rows.
+
+    A backlog holds commits without stored rows, so all of them are additions
+    and the stored tables are not copied.
+    """
     wanted = staged(backlog(store.read("cve_commit"), store.read("commits"), limit, unique_commit=unique_commit), "backlog")
     run = enrich(wanted, fetched, files, spans)
-    patches = staged(with_row_id(run.patches, "patch_id", schemas.KEYS["patch"]), "patches")
-    store.publish(
-        {
-            "commits": merge_coalesce(
-                store.read("commits"), run.commits, schemas.KEYS["commits"], F.col("commit_url")
-            ),
-            "patch": merge_coalesce(store.read("patch"), patches, schemas.KEYS["patch"], F.col("file_ord")),
-            "functions": append_functions(store.read("functions"), run.functions, ["commit_url"]),
-        },
+    empty = store.read("functions").limit(0)
+    store.upsert(
+        {"commits": (run.commits, F.col("commit_url")), "patch": (run.patches, F.col("file_ord"))},
+        added={"functions": append_functions(empty, run.functions, ["commit_url"])},
         sort_by={"patch": schemas.KEYS["patch"], "functions": ["repo_url", "commit_sha"]},
     )
     return run

@@ -9,27 +9,25 @@ from pyspark.sql import functions as F
 
 from fixweave import schemas
 from fixweave.operators.links import commit_references, link_rows
-from fixweave.operators.merge import merge_coalesce, merge_overwrite
 from fixweave.operators.records import (
     best_cvss, drop_rejected, flatten_cve, good_records, ingest_counters, limit_processed, outcome, parse_records,
 )
 from fixweave.session import staged
-from fixweave.sources.store import TableStore, should_run, upsert_sync_state
+from fixweave.sources.store import TableStore, should_run
 
 # ---- fixed value: name under which the record list is tracked
 SOURCE_NAME = "official_cvelist"
 
 
-def merge_records(
-    cve: DataFrame, links: DataFrame, accepted: DataFrame, order: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """New contents of the record and link tables from parsed, accepted records."""
-    arrival: Column = F.struct(*order)
-    rows = flatten_cve(accepted, *order)
-    new_cve = merge_overwrite(cve, rows, schemas.KEYS["cve"], arrival)
-    found = link_rows(commit_references(accepted, *order))
-    new_links = merge_coalesce(links, found, schemas.KEYS["cve_commit"], F.struct(*order, "ref_ord"))
-    return new_cve, new_links
+def record_batches(accepted: DataFrame, order: list[str]) -> dict[str, tuple[DataFrame, Column]]:
+    """Rows for the record and link tables from parsed, accepted records, with their arrival order."""
+    return {
+        "cve": (flatten_cve(accepted, *order), F.struct(*order)),
+        "cve_commit": (link_rows(commit_references(accepted, *order)), F.struct(*order, "ref_ord")),
+    }
+
+
+SORTED = {"cve": ["published"], "cve_commit": ["cve_id"]}
 
 
 def ingest_release(
@@ -44,22 +42,24 @@ def ingest_release(
     """Process record texts (column ``value``) of a release; returns the run counters.
 
     ``order`` names the columns that give the source order. Returns None when the
-    release was processed before, unless ``force``. With ``limit`` only the first
-    records that are accepted are taken, and the release still counts as done.
+    release was processed before, unless ``force``. With ``limit`` reading stops
+    after that many accepted records, and the release still counts as done.
     """
     if not should_run(store.read("sync_state"), source_name, release_tag, force):
         return None
     # Parsed once, read by both sinks and the counters.
-    parsed = staged(outcome(parse_records(raw)), "parsed")
+    parsed = staged(outcome(parse_records(raw)).select(*order, "record", "status", "outcome"), "parsed")
     accepted = drop_rejected(good_records(parsed))
     if limit is not None:
-        accepted = limit_processed(accepted, limit, *order)
-    cve, links = merge_records(store.read("cve"), store.read("cve_commit"), accepted, order)
+        first = staged(limit_processed(accepted.select(*order), limit, *order), "limit")
+        last = first.agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("at")).head()
+        if last["n"] == limit:
+            read = F.struct(*order) <= F.struct(*[F.lit(last["at"][c]).alias(c) for c in order])
+            parsed, accepted = parsed.where(read), accepted.where(read)
     now = datetime.now(timezone.utc).isoformat()
     update = raw.sparkSession.createDataFrame([(source_name, release_tag, now)], schemas.SYNC_STATE)
-    store.publish(
-        {"cve": cve, "cve_commit": links, "sync_state": upsert_sync_state(store.read("sync_state"), update)},
-        sort_by={"cve": ["published"], "cve_commit": ["cve_id"]},
+    store.upsert(
+        {**record_batches(accepted, order), "sync_state": (update, F.col("synced_at"))}, sort_by=SORTED
     )
     return ingest_counters(parsed)
 

@@ -3,7 +3,9 @@
 A run writes new folders and then one manifest row per table in a single
 append, so readers see either all of the run or nothing of it. Nothing that may
 still be read is overwritten, and a run that died leaves only unused folders.
-One writer at a time is assumed.
+A version is a list of folders: rows with new keys are added as one more folder,
+and only rows that replace stored ones cost a new copy of their table. One
+writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -12,13 +14,17 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixweave import schemas
-from fixweave.operators.merge import merge_overwrite
+from fixweave.operators.merge import last_rows, last_values, merge_coalesce, merge_overwrite
+from fixweave.session import staged
 
-_MANIFEST = "table string, version bigint, path string, published_at string"
+# Tables whose rows are replaced as a whole by a later row.
+OVERWRITTEN = ["cve", "sync_state"]
+
+_MANIFEST = "table string, version bigint, paths array<string>, published_at string"
 
 
 class TableStore:
@@ -28,44 +34,75 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _current(self) -> dict[str, tuple[int, str]]:
-        """Version and folder per table; a handful of rows by construction."""
+    def _current(self) -> dict[str, tuple[int, list[str]]]:
+        """Version and folders per table; a handful of rows by construction."""
         try:
             manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/_manifest")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return {}
             raise
-        latest = manifest.groupBy("table").agg(F.max(F.struct("version", "path")).alias("latest"))
-        return {row["table"]: (row["latest"]["version"], row["latest"]["path"]) for row in latest.collect()}
+        latest = manifest.groupBy("table").agg(F.max(F.struct("version", "paths")).alias("latest"))
+        return {row["table"]: (row["latest"]["version"], row["latest"]["paths"]) for row in latest.collect()}
 
     def read(self, table: str) -> DataFrame:
         """Current rows of a table, none if it was never written."""
         schema = schemas.TABLES[table]
-        current = self._current().get(table)
-        if current is None:
+        _, paths = self._current().get(table, (0, []))
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{current[1]}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{path}" for path in paths])
 
-    def publish(self, tables: dict[str, DataFrame], sort_by: dict[str, list[str]] | None = None) -> None:
-        """Write new versions of ``tables`` and make them current together.
+    def publish(
+        self,
+        tables: dict[str, DataFrame],
+        added: dict[str, DataFrame] | None = None,
+        sort_by: dict[str, list[str]] | None = None,
+    ) -> None:
+        """Make new contents of ``tables``, and rows ``added`` to others, current together.
 
         ``sort_by`` orders rows inside each file, so that the min/max values of
         row groups let later reads skip them.
         """
         current = self._current()
         rows = []
-        for name, df in tables.items():
-            version = current.get(name, (0, ""))[0] + 1
-            path = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
+        for name, df in {**tables, **(added or {})}.items():
+            version, paths = current.get(name, (0, []))
+            path = f"{name}/v{version + 1}-{uuid.uuid4().hex[:8]}"
             conformed = schemas.conform(df, schemas.TABLES[name])
             if sort_by and name in sort_by:
                 conformed = conformed.sortWithinPartitions(*sort_by[name])
             conformed.write.parquet(f"{self.root}/{path}")
-            rows.append((name, version, path, datetime.now(timezone.utc).isoformat()))
+            kept = [] if name in tables else paths
+            rows.append((name, version + 1, [*kept, path], datetime.now(timezone.utc).isoformat()))
         manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
         manifest.write.mode("append").parquet(f"{self.root}/_manifest")
 
+    def upsert(
+        self, batches: dict[str, tuple[DataFrame, Column]], added: dict[str, DataFrame] | None = None,
+        sort_by: dict[str, list[str]] | None = None,
+    ) -> None:
+        """Merge batches, given with their arrival order, and publish them together.
+
+        Records and sync states are overwritten, all else is merged column by
+        column. A batch is reduced to one row per key and stored first; whether
+        it meets stored keys is then a scan of key columns only, and if it does
+        not, the stored rows are left where they are.
+        """
+        rewritten, new = {}, dict(added or {})
+        for name, (batch, order) in batches.items():
+            keys = schemas.KEYS[name]
+            whole = name in OVERWRITTEN
+            reduced = last_rows(batch, keys, order) if whole else last_values(batch, keys, order)
+            reduced = staged(schemas.conform(reduced, schemas.TABLES[name]), f"batch-{name}")
+            stored = self.read(name)
+            if stored.select(*keys).join(reduced.select(*keys), keys, "left_semi").isEmpty():
+                new[name] = reduced
+            else:
+                merge = merge_overwrite if whole else merge_coalesce
+                rewritten[name] = merge(stored, reduced, keys, F.lit(0))
+        self.publish(rewritten, new, sort_by)
+
 
 def sync_decision(releases: DataFrame, sync_state: DataFrame, force: bool = False) -> DataFrame:
     """Per source: the new tag, the stored tag, and whether a run is needed."""

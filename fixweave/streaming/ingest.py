@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fixweave.operators.records import drop_rejected, good_records, parse_records
-from fixweave.plans.ingest import merge_records
+from fixweave.plans.ingest import SORTED, record_batches
 from fixweave.session import staged
 from fixweave.sources.store import TableStore
 
-# Source order inside a batch: the later file wins, then the larger text.
-_ORDER = ["file_time", "file_path", "value"]
+# Source order inside a batch: the later file wins; inside a file any fixed order.
+_ORDER = ["file_time", "file_path", "digest"]
 
 
 def read_record_stream(
@@ -37,9 +37,9 @@ def start_ingest(records: DataFrame, store: TableStore, checkpoint: str) -> Stre
     """
 
     def upsert(batch: DataFrame, _batch_id: int) -> None:
-        accepted = staged(drop_rejected(good_records(parse_records(batch))), "stream-batch")
-        cve, links = merge_records(store.read("cve"), store.read("cve_commit"), accepted, _ORDER)
-        store.publish({"cve": cve, "cve_commit": links}, sort_by={"cve": ["published"]})
+        parsed = parse_records(batch).withColumn("digest", F.md5("value"))
+        accepted = staged(drop_rejected(good_records(parsed)).drop("value"), "stream-batch")
+        store.upsert(record_batches(accepted, _ORDER), sort_by=SORTED)
 
     return (
         records.writeStream.foreachBatch(upsert)

@@ -223,7 +223,9 @@ def test_ingest_is_gated_limited_and_repeatable(spark):
     assert store.read("cve_commit").count() == 2
 
     limited = TableStore(spark, scratch_folder(spark, "test-store"))
-    ingest_release(limited, raw, "v1", ["ord"], limit=1)
+    counters = ingest_release(limited, raw, "v1", ["ord"], limit=1)
+    # Reading stopped at the first accepted record, after one rejected.
+    assert counters.first().asDict() == {"processed": 1, "rejected": 1, "skipped": 0, "unread": 0}
     assert rows(limited.read("cve"), "cve_id", "title") == [("CVE-2024-0002", "t")]
     assert limited.read("sync_state").count() == 1
 
