@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +31,24 @@ FLAGS = {
     "has_length_check": LENGTH_CHECK,
     "has_regex": REGEX,
 }
+# Plain texts of which one must occur for a pattern of the feature to match.
+# Looking for them is far cheaper than a Unicode regular expression.
+NEEDED = {
+    "has_null_check": ["null", "None"],
+    "has_if_statement": ["if"],
+    "has_try_catch": ["try", "catch", "except"],
+    "has_throw_or_raise": ["throw", "raise"],
+    "has_return": ["return"],
+    "has_length_check": [".length", "len", "size", "byteLength"],
+    "has_regex": ["RegExp", ".exec", ".match", "/"],
+}
 FEATURES = [*FLAGS, "line_count", "char_count"]
 
 
-def flag(code: Column, patterns: list[str]) -> Column:
+def flag(code: Column, patterns: list[str], needed: list[str]) -> Column:
     """1 when any pattern occurs, 0 otherwise and for NULL."""
-    found = code.rlike("(?U)" + "|".join(patterns))
+    possible = reduce(or_, [code.contains(text) for text in needed])
+    found = F.when(possible, code.rlike("(?U)" + "|".join(patterns)))
     return F.coalesce(found.cast("int"), F.lit(0))
 
 
@@ -51,4 +66,4 @@ def feature(name: str, code: Column) -> Column:
         return line_count(code)
     if name == "char_count":
         return char_count(code)
-    return flag(code, FLAGS[name])
+    return flag(code, FLAGS[name], NEEDED[name])

@@ -65,8 +65,8 @@ def line_total(lines: Column) -> Column:
 
 def count_lines(text: Column) -> Column:
     """``len(text.splitlines())`` without building an array in the plan."""
-    ends_open = F.when(text.rlike(rf"(?s)(?:\A|[{BREAK_CHARS}])\z"), 0).otherwise(1)
-    return F.regexp_count(text, F.lit(LINE_BREAK)) + ends_open
+    closed = (text == "") | F.substring(text, -1, 1).rlike(f"[{BREAK_CHARS}]")
+    return F.regexp_count(text, F.lit(LINE_BREAK)) + F.when(closed, 0).otherwise(1)
 
 
 def first_line(text: Column) -> Column:

@@ -36,7 +36,7 @@ _COMMIT_LINK = (
 
 def _plain(url: Column) -> Column:
     """Drop what URL parsers ignore: leading controls and blanks, tabs, line ends."""
-    return F.regexp_replace(url, r"\A[\x00-\x20]+|[\t\r\n]", "")
+    return F.regexp_replace(F.translate(url, "\t\r\n", ""), r"\A[\x00-\x20]+", "")
 
 
 def url_path(url: Column) -> Column:
@@ -44,7 +44,9 @@ def url_path(url: Column) -> Column:
     text = _plain(url)
     path = F.regexp_extract(text, _SCHEME + _NETLOC + "([^?#]*)", 3)
     scheme = F.lower(F.regexp_extract(text, _SCHEME, 1))
-    return F.when(scheme.isin(_PARAM_SCHEMES), F.regexp_replace(path, r";[^/]*\z", "")).otherwise(path)
+    return F.when(
+        text.contains(";") & scheme.isin(_PARAM_SCHEMES), F.regexp_replace(path, r";[^/]*\z", "")
+    ).otherwise(path)
 
 
 def url_is_malformed(url: Column) -> Column:
@@ -54,11 +56,14 @@ def url_is_malformed(url: Column) -> Column:
 
 
 def reference_kind(url: Column) -> Column:
-    """commit / pull / security-advisories / other, by the lower-cased path."""
-    path = F.lower(url_path(url))
+    """commit / pull / security-advisories / other, by the lower-cased path.
+
+    The path is taken apart only for URLs that hold the text somewhere.
+    """
+    text, path = F.lower(_plain(url)), F.lower(url_path(url))
     kind = F.lit(OTHER_KIND)
     for needle, name in reversed(REFERENCE_KINDS.items()):
-        kind = F.when(path.contains(needle), name).otherwise(kind)
+        kind = F.when(text.contains(needle) & path.contains(needle), name).otherwise(kind)
     return kind
 
 
