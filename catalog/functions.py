@@ -9,7 +9,7 @@ from catalog.fixtures import base, fixture
 from catalog.registry import query
 from fixweave.functions import code as C
 from fixweave.functions.pytext import raw_lines, line_total
-from fixweave.operators import audit, fetch, links, merge, methods, pairing
+from fixweave.operators import audit, fetch, merge, methods, pairing
 from fixweave.plans.enrich import enrich
 from fixweave.plans import enrich as enrich_plan
 from fixweave.session import scratch_folder

@@ -15,6 +15,7 @@ PLACEHOLDER_NAMES = ["(anonymous)", "anonymous", "<anonymous>", "unknown"]
 # ---- fixed value: distance of spans whose gap cannot be told
 FAR = 10**9
 
+# ---- fixed values: patterns of the cleaning rules
 # One left-over line in front of a function: a lone closing brace, a rule of
 # percent signs, a preprocessor guard, an empty comment line.
 _LEFTOVER_LINE = (

@@ -19,6 +19,7 @@ from fixweave.session import staged
 
 COMMIT_KEYS = ["repo_url", "commit_sha"]
 PAIR_LINES = ["vuln_start_line", "vuln_end_line", "patched_start_line", "patched_end_line"]
+SPAN_KEYS = [*COMMIT_KEYS, "file_path", "method_name", *PAIR_LINES]
 # ---- fixed value: more equal-length pairs than this in a commit are a bulk edit
 BULK_THRESHOLD = 10
 # Spans that are cut from one split of a file text.
@@ -38,9 +39,29 @@ def dedup_spans(pairs: DataFrame) -> DataFrame:
 
     A plain map-side aggregation on narrow columns.
     """
-    keys = [*COMMIT_KEYS, "file_path", "method_name", *PAIR_LINES]
-    first = pairs.groupBy(*keys).agg(F.min(F.struct("file_ord", "ord")).alias("_first"))
-    return first.select(*keys, "_first.file_ord", "_first.ord")
+    first = pairs.groupBy(*SPAN_KEYS).agg(F.min(F.struct("file_ord", "ord")).alias("_first"))
+    return first.select(*SPAN_KEYS, "_first.file_ord", "_first.ord")
+
+
+def _spans_by_file(pairs: DataFrame) -> DataFrame:
+    """First span pair per file, and whether other files of the commit have it too.
+
+    Only files with a text count when repeats across files are dropped, and that
+    is known once the texts are read. Such repeats are rare, so they are marked
+    here, on narrow rows, and dealt with after the cut.
+    """
+    per_file = pairs.groupBy("file_ord", *SPAN_KEYS).agg(F.min("ord").alias("ord"))
+    several = per_file.groupBy(*SPAN_KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    same = [F.col(f"p.{key}").eqNullSafe(F.col(f"s.{key}")) for key in SPAN_KEYS]
+    marked = per_file.alias("p").join(several.alias("s"), same, "left")
+    return marked.select("p.*", F.col("s._n").isNotNull().alias("shared"))
+
+
+def _first_files(blocks: DataFrame) -> DataFrame:
+    """Of span pairs shared by files of a commit keep the first; the others pass as they are."""
+    rank = F.row_number().over(Window.partitionBy(*SPAN_KEYS).orderBy("file_ord"))
+    first = blocks.where(F.col("shared")).withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    return blocks.where(~F.col("shared")).unionByName(first).drop("shared")
 
 
 def attach_source(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,7 +74,8 @@ def attach_source(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def cut_blocks(pairs: DataFrame, files: DataFrame, per_chunk: int = SPANS_PER_CHUNK) -> DataFrame:
-    """Add ``vuln_text`` and ``patch_text``, the raw lines of both spans.
+    """Add ``vuln_text`` and ``patch_text``, the raw lines of both spans, and
+    ``has_before`` and ``has_after``, whether the file has these texts.
 
     A file with many functions is not copied and split once per function: the
     spans of a file meet its text in chunks of at most ``per_chunk``, and each
@@ -79,17 +101,28 @@ def cut_blocks(pairs: DataFrame, files: DataFrame, per_chunk: int = SPANS_PER_CH
             block_text(F.col("_after"), span["patched_start_line"], span["patched_end_line"]).alias("patch_text"),
         )
 
-    return split.select(*FILE_KEYS, F.inline(F.transform("_spans", cut)))
+    return split.select(
+        *FILE_KEYS,
+        _has_text("source_before").alias("has_before"),
+        _has_text("source_after").alias("has_after"),
+        F.inline(F.transform("_spans", cut)),
+    )
 
 
-def extract_code(blocks: DataFrame) -> DataFrame:
-    """Clean the cut blocks and drop what is no complete function pair."""
+def clean_blocks(blocks: DataFrame) -> DataFrame:
+    """Cut texts to cleaned ``vuln_function`` and ``patch_function``."""
     cleaned = {
         "vuln_function": clean_block(F.col("vuln_text")),
         "patch_function": clean_block(F.col("patch_text")),
     }
-    code = complete_pairs(computed(blocks, cleaned).drop("vuln_text", "patch_text"))
-    return code.where(looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function")))
+    return computed(blocks, cleaned).drop("vuln_text", "patch_text")
+
+
+def whole_functions(pairs: DataFrame) -> DataFrame:
+    """Both sides present, and neither opens like a control-flow block."""
+    return complete_pairs(pairs).where(
+        looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function"))
+    )
 
 
 def complete_pairs(pairs: DataFrame) -> DataFrame:
@@ -115,14 +148,14 @@ def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FRO
     """Vulnerable and patched versions of changed functions, strict rules.
 
     ``files`` and ``spans`` follow the FILE_CHANGE and METHOD_SPAN schemas. The
-    changed methods and the cut pairs are stored in between, since both are
+    changed methods and the cut blocks are stored in between, since both are
     read twice.
     """
     old, new = F.col("old_path"), F.col("new_path")
-    usable = files.where(~skip_file(first_path(old, new))).where(
-        _has_text("source_before") & _has_text("source_after")
-    ).select(*FILE_KEYS, first_path(old, new).alias("file_path"))
-
+    # Paths only: the file texts are read once, when all spans are chosen.
+    usable = files.where(~skip_file(first_path(old, new))).select(
+        *FILE_KEYS, first_path(old, new).alias("file_path")
+    )
     named = spans.where(valid_method_name(F.col("name")))
     # Equal changed spans lead to equal pairs, of which only the first is kept.
     changed = staged(distinct_spans(_side(named, "changed"), FILE_KEYS).join(usable, FILE_KEYS), "changed")
@@ -136,17 +169,16 @@ def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FRO
         F.col("before_start").alias("vuln_start_line"), F.col("before_end").alias("vuln_end_line"),
         F.col("after_start").alias("patched_start_line"), F.col("after_end").alias("patched_end_line"),
     )
-    code = extract_code(cut_blocks(dedup_spans(chosen), files))
-    return drop_bulk_refactor(staged(code, "pairs"))
+    blocks = cut_blocks(_spans_by_file(chosen), files).where("has_before AND has_after").drop("has_before", "has_after")
+    code = whole_functions(_first_files(staged(clean_blocks(blocks), "blocks")))
+    return drop_bulk_refactor(code)
 
 
 def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:
     """The older, laxer rules: first namesake before; same span, first namesake
     or the changed method itself after; one-sided pairs are kept; nothing is
     skipped or cleaned."""
-    usable = files.where(_has_text("source_before")).select(
-        *FILE_KEYS, first_path(F.col("old_path"), F.col("new_path")).alias("file_path")
-    )
+    usable = files.select(*FILE_KEYS, first_path(F.col("old_path"), F.col("new_path")).alias("file_path"))
     group = [*FILE_KEYS, "name"]
     by_name = ["ord", "start_line", "end_line"]
 
@@ -187,7 +219,8 @@ def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:
     def plain(text: str) -> Column:
         return F.when(not_blank(F.col(text)), F.col(text))
 
-    cut = cut_blocks(dedup_spans(chosen), files).withColumns(
+    blocks = cut_blocks(_spans_by_file(chosen), files).where("has_before").drop("has_before", "has_after")
+    cut = _first_files(staged(blocks, "blocks")).withColumns(
         {
             "vuln_function": plain("vuln_text"),
             "patch_function": plain("patch_text"),

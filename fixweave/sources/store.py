@@ -78,6 +78,10 @@ class TableStore:
         manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
         manifest.write.mode("append").parquet(f"{self.root}/_manifest")
 
+    def compact(self, table: str, sort_by: list[str] | None = None) -> None:
+        """Copy a table of many added folders into one."""
+        self.publish({table: self.read(table)}, sort_by={table: sort_by} if sort_by else None)
+
     def upsert(
         self, batches: dict[str, tuple[DataFrame, Column]], added: dict[str, DataFrame] | None = None,
         sort_by: dict[str, list[str]] | None = None,
