@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from catalog import registry
 from catalog.fixtures import BASE_TABLES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # No SQL can tell the rows of a random forest.
 WITHOUT_ORACLE = {"train_forest", "predict", "feature_importance"}
 
@@ -59,5 +60,10 @@ def test_model_query_gives_rows(spark, name):
         assert abs(sum(r["importance"] for r in found) - 1) < 1e-9
 
 
+def test_entry_lists_every_query():
+    assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
