@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,70 @@ def op1_ngram_join(spark, sf_dir):
     from fixweave.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_id(spark, sf_dir):
+    from fixweave.llm.language import held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, ~held_out("doc_id", 0))
+    return found.select("doc_id", held_out("doc_id", 0).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    r"""WITH n AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+ r AS (SELECT doc_id, body, count(*) OVER w AS group_size, first_value(doc_id) OVER (PARTITION BY body ORDER BY length(coalesce(text, '')) DESC, doc_id) AS keep_id FROM n WINDOW w AS (PARTITION BY body))
+ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM r"""
+)
+def op6_exact_dedup(spark, sf_dir):
+    from fixweave.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+ w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM s),
+ l AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE - CAST(coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+   / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM w WINDOW o AS (ORDER BY cap / weight, rank)),
+ t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM l),
+ c AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
+   CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size)) AS BIGINT) AS taken FROM c"""
+)
+def op7_mixing(spark, sf_dir):
+    from fixweave.llm.mixing import mix_plan, training_order
+
+    ordered = training_order(mix_plan(table(spark, sf_dir, "documents")))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    r"""WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ bs AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM bw WHERE len(w) > 0),
+ win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS window FROM bs),
+ lens AS (SELECT DISTINCT n FROM win),
+ ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw CROSS JOIN lens WHERE len(w) >= n),
+ hits AS (SELECT ds.doc_id, ds.p, ds.n, win.item_id FROM ds JOIN win ON ds.n = win.n AND array_to_string(list_slice(ds.w, ds.p, ds.p + ds.n - 1), ' ') = win.window),
+ words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+)
+def op8_decontamination(spark, sf_dir):
+    from fixweave.llm.decontaminate import benchmark_hits
+
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits_digest(hits)
+
+
+def hits_digest(hits):
+    n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, n: a + n)
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return hits.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )

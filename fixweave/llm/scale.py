@@ -1,4 +1,4 @@
-"""Distributed building blocks: a size-bounded row filter and connected components."""
+"""Distributed building blocks: size-bounded row filters and connected components."""
 
 from __future__ import annotations
 
@@ -16,20 +16,35 @@ def _slot(column: Column) -> tuple[Column, Column]:
     return (place / 64).cast("long"), (place % 64).cast("int")
 
 
+def _marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: whether a row's key may be among ``keys``, by a broadcast bitmap of fixed size."""
+    word, bit = _slot(F.col(keys.columns[0]))
+    bits = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = _slot(F.col(key))
+    held = df.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    hit = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return held.withColumn("_maybe", F.col(key).isNotNull() & F.coalesce(hit, F.lit(False))).drop("_word", "_bits")
+
+
 def pruned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key may be among the ``wanted`` keys.
 
-    A hashed bitmap of fixed size is broadcast, so most rows that an exact join
-    would drop never reach its shuffle. It only lets too much through: the exact
-    join still has to follow. Null keys are dropped.
+    Most rows that an exact join would drop thus never reach its shuffle. The
+    bitmap only lets too much through: the exact join still has to follow. Null
+    keys are dropped.
     """
-    word, bit = _slot(F.col(wanted.columns[0]))
-    bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    word, bit = _slot(F.col(key))
-    kept = df.where(F.col(key).isNotNull()).withColumn("_word", word).join(F.broadcast(bits), "_word")
-    hit = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long"))
-    return kept.where(hit == 1).select(*df.columns)
+    return _marked(df, key, wanted).where("_maybe").select(*df.columns)
+
+
+def without(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in the stored table ``dropped``; rows with a null key stay.
+
+    Only rows that the bitmap cannot clear are shuffled for the exact join.
+    """
+    marked = _marked(df, key, dropped)
+    unsure = marked.where("_maybe").join(dropped, F.col(key) == dropped[dropped.columns[0]], "left_anti")
+    return marked.where("not _maybe").select(*df.columns).unionByName(unsure.select(*df.columns))
 
 
 def _stars(edges: DataFrame) -> DataFrame:
