@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Folder of the public vocabulary files; a parameter of the machine.
+VOCABULARY = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -95,3 +100,36 @@ def hits_digest(hits):
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(regexp_replace(role, '[\\:\n]|</turn>|### ', 'x\0', 'g')) + length(regexp_replace(text, '\\|</turn>|### ', 'x\0', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+ SELECT * FROM a"""
+)
+def op10_chat_format(spark, sf_dir):
+    from fixweave.llm.chat import format_conversations, read_back
+
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(format_conversations(talks))
+
+
+@query()
+def op5_token_counts(spark, sf_dir):
+    from fixweave.llm.wordpiece import token_counts, vocabulary
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
+
+
+@query()
+def op9_license_scan(spark, sf_dir):
+    from fixweave.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -43,7 +43,8 @@ def without(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     Only rows that the bitmap cannot clear are shuffled for the exact join.
     """
     marked = _marked(df, key, dropped)
-    unsure = marked.where("_maybe").join(dropped, F.col(key) == dropped[dropped.columns[0]], "left_anti")
+    ids = dropped.select(F.col(dropped.columns[0]).alias("_id"))
+    unsure = marked.where("_maybe").join(ids, F.col(key) == F.col("_id"), "left_anti")
     return marked.where("not _maybe").select(*df.columns).unionByName(unsure.select(*df.columns))
 
 
