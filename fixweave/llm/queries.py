@@ -133,3 +133,31 @@ def op9_license_scan(spark, sf_dir):
 
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op2_personal_data(spark, sf_dir):
+    from fixweave.llm.pii import find_personal_data
+
+    return spans_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def spans_digest(found):
+    from fixweave.llm.pii import KINDS
+
+    spans = F.arrays_zip("kinds", "starts", "ends", "base")
+    named = F.array(*[F.lit(k) for k in KINDS])
+
+    def said(s):
+        return F.concat_ws(":", F.get(named, s["kinds"]), s["starts"].cast("string"), s["ends"].cast("string"))
+
+    def of_kind(number):
+        return lambda s: s["kinds"] == number
+
+    base = F.filter(spans, lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(spans, said), ",").alias("spans"),
+    )
