@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Folder of the public vocabulary files; a parameter of the machine.
 VOCABULARY = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
 
+RANKS = os.path.join(os.path.dirname(VOCABULARY), "byte_bpe_50k.tiktoken")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -161,3 +163,10 @@ def spans_digest(found):
         F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(spans, said), ",").alias("spans"),
     )
+
+
+@query()
+def op3_lm_scoring(spark, sf_dir):
+    from fixweave.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), RANKS)
