@@ -9,8 +9,8 @@ never forms the pairs of a group of copies:
    alone. What links becomes one group, connected through its leader.
 3. Groups are the columns of the token-group matrix. A class queries the groups of
    others: shingles are ordered by how common they are (then by hash), and a link
-   implies that the rare end of the query's order meets the rare end of a member's
-   order, so these ends, merged per group, give the (query, group) candidates.
+   implies that the rare ends of the query and of a member share some part, so the
+   ends, merged per group, bound the overlap and give the (query, group) candidates.
 4. A candidate group is laid out in blocks of members. The block's token union
    bounds the overlap of the query with any member; only blocks whose bound
    reaches the threshold are opened, and members compared one by one.
@@ -44,11 +44,14 @@ WORDS = 5
 # Similarity threshold as a fraction of integers.
 NUM, DEN = 4, 5
 # Entries of the order table: the most common shingles, 9 bytes each on the wire.
-ORDERED = 1 << 18
-# Local count from which a shingle is proposed for the order table, and shingles counted together.
-COMMON, COUNTED = 4, 2_000_000
+ORDERED = 1 << 20
+# Shingles counted together; those met twice among them are proposed for the order table.
+COUNTED = 3_000_000
 # Entries of a blob batch before it is cut by bucket, and bytes of a bucket.
-ENTRIES, BUCKET_BYTES = 1_000_000, 16 << 20
+ENTRIES, BUCKET_BYTES = 800_000, 12 << 20
+# Queries above the first size must share one more shingle of the rare end for each so
+# many. Opening small sets is cheap, so for them longer ends would not pay.
+ALONE, SHARED = 200, 20
 # Members of a block of the matrix, and queries of one cell.
 MEMBERS, QUERIES = 64, 1024
 
@@ -114,9 +117,10 @@ _PROFILE = "doc_id long, n long, digest binary, owner long, mins array<long>, to
 
 
 def _counted(arrays: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    tokens, counts = np.unique(np.concatenate(arrays), return_counts=True)
-    common = counts >= COMMON
-    return signed(tokens[common]).tolist(), counts[common].tolist()
+    held = np.concatenate(arrays)
+    held.sort()
+    tokens, more = np.unique(held[1:][held[1:] == held[:-1]], return_counts=True)
+    return signed(tokens).tolist(), (more + 1).tolist()
 
 
 def _profile(words: int):
@@ -175,11 +179,20 @@ _BLOB = "bucket int, tokens binary, owners binary"
 _ENTRY = "token long, owner long, stored boolean"
 
 
+def needed(size: int) -> int:
+    """Shingles of its rare end that a query of this size must share with a group."""
+    return 1 + max(0, size - ALONE) // SHARED
+
+
 def _ends(size: int) -> tuple[int, int]:
-    """Lengths of the rare end of a query and of a stored (not larger) set."""
-    query = size - -(-NUM * size // DEN) + 1
-    stored = size - -(-2 * NUM * size // (NUM + DEN)) + 1
-    return query, stored
+    """Lengths of the rare end of a query and of a stored (not larger) set.
+
+    Sets that share m shingles share c of the first ``size - m + c`` in any order;
+    c grows with the query, which has at most DEN / NUM times the stored size.
+    """
+    query = size - -(-NUM * size // DEN) + needed(size)
+    stored = size - -(-2 * NUM * size // (NUM + DEN)) + needed(DEN * size // NUM)
+    return min(size, query), min(size, stored)
 
 
 def _owner(digest: bytes) -> int:
@@ -359,8 +372,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")
         ), "classes",
     )
-    # Entries of 16 bytes; a query's end is about a fifth of its set.
-    buckets = max(1, -(-16 * (size // 5 + described.count()) // BUCKET_BYTES))
+    # Entries of 16 bytes; a query's end is about a quarter of its set.
+    buckets = max(1, -(-16 * (size // 4 + described.count()) // BUCKET_BYTES))
     entries = (
         plain.select("text").mapInArrow(_entries(words, order, buckets), _BLOB)
         .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _ENTRY)
@@ -400,11 +413,12 @@ def _self_groups(classes: DataFrame) -> DataFrame:
 
 
 def _candidates(entries: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Distinct (query, grp) whose rare ends meet and whose sizes allow a link."""
+    """Distinct (query, grp) whose rare ends share enough and whose sizes allow a link."""
     held = entries.join(grouped, "owner")
     stored = held.where("stored").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     query = held.select("token", "rep", "n", F.col("grp").alias("own")).distinct()
     met = query.join(stored, "token").where(
         (F.col("grp") != F.col("own")) & (F.col("low") <= F.col("n")) & (F.col("high") * DEN >= F.col("n") * NUM)
     )
-    return met.select(F.col("rep").alias("query"), "grp").distinct()
+    shared = met.groupBy("rep", "grp", "n").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") > F.floor(F.greatest(F.lit(0), F.col("n") - ALONE) / SHARED)).select(F.col("rep").alias("query"), "grp").distinct()
