@@ -201,11 +201,11 @@ def incremental_ingest(spark, sf_dir):
 
 @query("SELECT 4 AS batches, count(*) AS input_rows FROM fx_cve_raw", ["fx_cve_raw"])
 def batched_progress(spark, sf_dir):
-    """Four files at one file per batch; progress is read from the stream."""
+    """Four files at one file per batch; progress is read from the store."""
     landing, checkpoint = scratch_folder(spark, "landing"), scratch_folder(spark, "checkpoint")
     fixture(spark, sf_dir, "fx_cve_raw").select("value").repartition(4).write.text(landing)
     records = stream.read_record_stream(spark, landing, max_files_per_trigger=1)
-    ingest = stream.start_ingest(records, TableStore(spark, scratch_folder(spark, "store")), checkpoint)
-    ingest.awaitTermination()
-    rows = stream.progress_rows(ingest).where("input_rows > 0")
+    store = TableStore(spark, scratch_folder(spark, "store"))
+    stream.start_ingest(records, store, checkpoint).awaitTermination()
+    rows = stream.progress_rows(store).where("input_rows > 0")
     return rows.agg(F.count("*").cast("int").alias("batches"), F.sum("input_rows").alias("input_rows"))

@@ -40,8 +40,11 @@ def parse_status(value: Column, record: Column) -> Column:
     """
     text = F.trim(F.translate(value, "\t\r\n", "   "))
     is_object = text.startswith("{") & text.endswith("}")
+    # Text after the first value parses as JSON all the same; as an array it is not one element.
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))), F.lit(0)) == 1
     return (
         F.when(~F.is_valid_utf8(value), "bad_encoding")
+        .when(is_object & ~alone, "not_json")
         .when(is_object & record[schemas.CORRUPT].isNull(), "ok")
         .when(F.try_parse_json(value).isNull(), "not_json")
         .when(is_object, "bad_structure")

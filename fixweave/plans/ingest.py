@@ -43,7 +43,7 @@ def ingest_release(
 
     ``order`` names the columns that give the source order. Returns None when the
     release was processed before, unless ``force``. With ``limit`` reading stops
-    after that many accepted records, and the release still counts as done.
+    after that many processed records (rejected and skipped ones do not count), and the release still counts as done.
     """
     if not should_run(store.read("sync_state"), source_name, release_tag, force):
         return None
@@ -51,7 +51,7 @@ def ingest_release(
     parsed = staged(outcome(parse_records(raw)).select(*order, "record", "status", "outcome"), "parsed")
     accepted = drop_rejected(good_records(parsed))
     if limit is not None:
-        first = staged(limit_processed(accepted.select(*order), limit, *order), "limit")
+        first = staged(limit_processed(accepted.where("outcome = 'processed'").select(*order), limit, *order), "limit")
         last = first.agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("at")).head()
         if last["n"] == limit:
             read = F.struct(*order) <= F.struct(*[F.lit(last["at"][c]).alias(c) for c in order])

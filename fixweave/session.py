@@ -31,10 +31,12 @@ def build_session(app: str = "fixweave", master: str | None = None, **settings:
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder of the cluster.
 
-    The folder is named by ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder of this machine is used.
+    The folder is named by ``spark.checkpoint.dir``. Only where that is unset and
+    the master is local, as in tests, a temporary folder of this machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="fixweave-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

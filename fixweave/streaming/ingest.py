@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fixweave.operators.records import drop_rejected, good_records, parse_records
+from fixweave.operators.records import drop_rejected, good_records, outcome, parse_records
 from fixweave.plans.ingest import SORTED, record_batches
 from fixweave.session import staged
 from fixweave.sources.store import TableStore
 
-# Source order inside a batch: the later file wins; inside a file any fixed order.
-_ORDER = ["file_time", "file_path", "digest"]
+# Source order inside a batch: the later file wins, and inside a file the later line.
+_ORDER = ["file_time", "file_path", "line"]
+_PROGRESS = "batch_id bigint, input_rows bigint, processed bigint, rejected bigint, skipped bigint, unread bigint"
 
 
 def read_record_stream(
     spark: SparkSession, source: str, whole_files: bool = False, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Stream of record texts from a folder of line files, or of one-record files."""
-    reader = spark.readStream.format("text").option("wholetext", str(whole_files).lower())
+    """Stream of record texts from a folder of line files, or of one-record files.
+
+    Files are read whole, so that each line knows its place; a file must be below 2 GB.
+    """
+    reader = spark.readStream.format("text").option("wholetext", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(source).select(
+    files = reader.load(source).select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("file_time"),
     )
+    if whole_files:
+        return files.withColumn("line", F.lit(0))
+    # A line end at the end of a file starts no line.
+    body = F.regexp_replace("value", r"(\r\n|\r|\n)\z", "")
+    lines = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n|\r|\n"))
+    return files.select("file_path", "file_time", F.posexplode(lines).alias("line", "value"))
 
 
 def start_ingest(records: DataFrame, store: TableStore, checkpoint: str) -> StreamingQuery:
@@ -36,10 +47,14 @@ def start_ingest(records: DataFrame, store: TableStore, checkpoint: str) -> Stre
     after a failure merges the same rows over themselves, which changes nothing.
     """
 
-    def upsert(batch: DataFrame, _batch_id: int) -> None:
-        parsed = parse_records(batch).withColumn("digest", F.md5("value"))
-        accepted = staged(drop_rejected(good_records(parsed)).drop("value"), "stream-batch")
-        store.upsert(record_batches(accepted, _ORDER), sort_by=SORTED)
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        tagged = staged(outcome(parse_records(batch)).drop("value"), "stream-batch")
+        store.upsert(record_batches(drop_rejected(good_records(tagged)), _ORDER), sort_by=SORTED)
+        counts = tagged.groupBy().agg(F.count("*").alias("input_rows"), *[
+            F.count_if(F.col("outcome") == name).alias(name) for name in ("processed", "rejected", "skipped", "unread")
+        ])
+        row = counts.select(F.lit(batch_id).cast("long").alias("batch_id"), "*")
+        row.coalesce(1).write.mode("append").parquet(f"{store.root}/_progress")
 
     return (
         records.writeStream.foreachBatch(upsert)
@@ -49,8 +64,12 @@ def start_ingest(records: DataFrame, store: TableStore, checkpoint: str) -> Stre
     )
 
 
-def progress_rows(query: StreamingQuery) -> DataFrame:
-    """Recent progress of a stream as a table; its length is bounded by Spark's setting."""
-    rows = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint")
+def progress_rows(store: TableStore) -> DataFrame:
+    """One row of counts per batch that was stored; a batch that was run again counts once."""
+    try:
+        stored = store.spark.read.schema(_PROGRESS).parquet(f"{store.root}/_progress")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return store.spark.createDataFrame([], _PROGRESS)
+        raise
+    return stored.dropDuplicates(["batch_id"])

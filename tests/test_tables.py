@@ -16,6 +16,7 @@ from fixweave.functions.urls import commit_key
 from fixweave.operators import audit, dataset, fetch, links, merge, methods, model
 from fixweave.plans.ingest import ingest_release
 from fixweave.plans.train import train
+from fixweave.operators.records import parse_records
 from fixweave.session import scratch_folder
 from fixweave.sources import records as scans
 from fixweave.sources.store import TableStore, should_run
@@ -236,15 +237,14 @@ def test_stream_reads_new_files_only(spark, tmp_path):
     landing.mkdir()
 
     def start():
-        query = stream.start_ingest(stream.read_record_stream(spark, str(landing)), store, checkpoint)
-        query.awaitTermination()
-        return sum(r["input_rows"] for r in stream.progress_rows(query).collect())
+        stream.start_ingest(stream.read_record_stream(spark, str(landing)), store, checkpoint).awaitTermination()
+        return sum(r["input_rows"] for r in stream.progress_rows(store).collect())
 
     (landing / "a.jsonl").write_text(record_text(1) + "\n" + record_text(2, state="REJECTED") + "\n")
     assert start() == 2
     (landing / "b.jsonl").write_text(record_text(1, title="newer") + "\n")
-    assert start() == 1
-    assert start() == 0
+    assert start() == 3
+    assert start() == 3
     assert rows(store.read("cve"), "cve_id", "title") == [("CVE-2024-0001", "newer")]
     assert store.read("cve_commit").count() == 1
 
@@ -284,3 +284,47 @@ def test_report_with_a_class_never_predicted(spark):
     report = {r["class"]: r.asDict() for r in model.classification_report(df).collect()}
     assert (report["1"]["precision"], report["1"]["recall"], report["1"]["f1"], report["1"]["support"]) == (0.0, 0.0, 0.0, 2)
     assert (report["0"]["precision"], report["0"]["recall"]) == (0.5, 1.0)
+
+
+def test_last_line_of_a_file_wins_and_all_progress_stays(spark, tmp_path):
+    store = TableStore(spark, scratch_folder(spark, "test-stream"))
+    landing, checkpoint = tmp_path / "landing", str(tmp_path / "checkpoint")
+    landing.mkdir()
+    (landing / "a.jsonl").write_text("".join(record_text(1, title=f"v{n}") + "\n" for n in range(6)))
+    for number in (2, 3):
+        (landing / f"b{number}.jsonl").write_text(record_text(number, state="REJECTED" if number == 2 else "PUBLISHED"))
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        records = stream.read_record_stream(spark, str(landing), max_files_per_trigger=1)
+        stream.start_ingest(records, store, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert store.read("cve").where("cve_id = 'CVE-2024-0001'").first()["title"] == "v5"
+    progress = stream.progress_rows(store).collect()
+    assert len(progress) == 3 and sum(r["input_rows"] for r in progress) == 8
+    assert sum(r["processed"] for r in progress) == 7 and sum(r["rejected"] for r in progress) == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+        def getConf(self):
+            return self
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = Conf()
+
+    Cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(Cluster(), "x")
+
+
+def test_text_after_a_record_is_refused(spark):
+    values = [record_text(1), record_text(1) + " " + record_text(2), '{"a":1},{"b":2}', record_text(1) + "}"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value string")
+    found = [r["status"] for r in parse_records(df).orderBy("i").collect()]
+    assert found == ["ok", "not_json", "not_json", "not_json"]
