@@ -22,6 +22,9 @@ BAD_ID = "Invalid CVE ID format"
 MISSING_CNA = "Missing containers.cna section"
 VALID = "Validation passed"
 
+# Stands for references of the wrong type; no URL reader takes it.
+UNREADABLE = "http://["
+
 _JSON_OPTIONS = {
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": schemas.CORRUPT,
@@ -35,8 +38,9 @@ _FLOAT = r"(?iU)\A\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*
 def parse_status(value: Column, record: Column) -> Column:
     """ok / bad_encoding / not_json / not_object / bad_structure.
 
-    ``bad_structure`` is a JSON object in which a field has the wrong type. The
-    costly second look at the text is taken only for rows that failed to parse.
+    ``bad_structure`` is a JSON object in which a field that the record's row is
+    made of has the wrong type. The costly second look at the text is taken only
+    for rows that failed to parse.
     """
     text = F.trim(F.translate(value, "\t\r\n", "   "))
     is_object = text.startswith("{") & text.endswith("}")
@@ -52,9 +56,37 @@ def parse_status(value: Column, record: Column) -> Column:
     )
 
 
+def _reread(value: Column) -> Column:
+    """The record of a text with a field of the wrong type, if that field is not part of its row.
+
+    Products are read by no step that stores rows: a list of the wrong type is
+    none. References are read after the row was stored: if they are no list of
+    objects, they become one address that cannot be parsed, so the row stays,
+    its links are lost, and the record counts as skipped.
+    """
+    loose = F.from_json(value, schemas.LOOSE_RECORD, _JSON_OPTIONS)
+
+    def items(text: Column) -> Column:
+        """Elements as JSON texts; NULL if the text is no list of objects."""
+        held = F.from_json(text, "array<string>")
+        objects = F.forall(held, lambda e: F.coalesce(e.startswith("{"), F.lit(False)))
+        return F.when(text.startswith("[") & objects, held)
+
+    affected, references = _cna(loose)["affected"], _cna(loose)["references"]
+    products_ = F.transform(items(affected), lambda e: F.struct(F.get_json_object(e, "$.product").alias("product")))
+    urls = F.transform(items(references), lambda e: F.struct(F.get_json_object(e, "$.url").alias("url")))
+    unreadable = F.array(F.struct(F.lit(UNREADABLE).alias("url")))
+    # An empty text or object has no elements either.
+    urls = F.when(~references.isin("", "{}"), F.coalesce(urls, unreadable))
+    return loose.withField("containers.cna.affected", products_).withField("containers.cna.references", urls)
+
+
 def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
     """Add ``record`` (the nested struct) and ``status`` to rows of record text."""
-    parsed = computed(raw, {"record": F.from_json(F.col(value), schemas.RECORD, _JSON_OPTIONS)})
+    strict = computed(raw, {"_strict": F.from_json(F.col(value), schemas.RECORD, _JSON_OPTIONS)})
+    failed = F.col(f"_strict.{schemas.CORRUPT}").isNotNull()
+    record = F.when(failed, _reread(F.col(value))).otherwise(F.col("_strict"))
+    parsed = computed(strict, {"record": record}).drop("_strict")
     return parsed.withColumn("status", parse_status(F.col(value), F.col("record")))
 
 
@@ -159,10 +191,12 @@ def reference_urls(record: Column) -> Column:
 
 
 def has_malformed_url(record: Column) -> Column:
-    urls = F.transform(_cna(record)["references"], lambda r: r["url"])
-    return F.coalesce(
-        F.exists(urls, lambda u: (u.contains("[") | u.contains("]")) & url_is_malformed(u)), F.lit(False)
-    )
+    """Whether the reader gives up on the references: an unparsable URL, or an element that is null."""
+    def unreadable(r: Column) -> Column:
+        url = F.coalesce(r["url"], F.lit(""))
+        return r.isNull() | ((url.contains("[") | url.contains("]")) & url_is_malformed(url))
+
+    return F.coalesce(F.exists(_cna(record)["references"], unreadable), F.lit(False))
 
 
 def group_references(record: Column) -> Column:

@@ -101,6 +101,17 @@ RECORD = _struct(
     ),
     _corrupt_record=_STRING,
 )
+
+
+def _loose() -> T.StructType:
+    """The record with its product and reference lists as JSON text, whatever their type is."""
+    kinds = {"affected": _STRING, "references": _STRING}
+    cna = RECORD["containers"].dataType["cna"].dataType
+    loose = _struct(**{f.name: kinds.get(f.name, f.dataType) for f in cna.fields})
+    return _struct(**{f.name: _struct(cna=loose) if f.name == "containers" else f.dataType for f in RECORD.fields})
+
+
+LOOSE_RECORD = _loose()
 CVSS = _table("version string, baseScore string, baseSeverity string, vectorString string")
 
 

@@ -55,6 +55,28 @@ def test_status_of_broken_texts(parse):
     ]
 
 
+def test_each_field_of_the_wrong_type_once(parse):
+    link = {"url": "https://github.com/o/r/commit/abcdef1"}
+    fine = record(references=[link])
+    harmless = [record(references=[link], affected=a) for a in ({"product": "x"}, "x", 3, ["x"], [None])]
+    unlinked = [record(references=r) for r in ("x", link, 3, ["x"], [link, None], [link, [link]])]
+    none = [record(references=r) for r in ("", {}, [], None)]
+    lost = [record(**{name: "x"}) for name in ("descriptions", "problemTypes", "metrics")]
+    lost += [{**fine, "cveMetadata": "x"}, {**fine, "containers": "x"}, {**fine, "containers": {"cna": "x"}}]
+    lost.append(record(references="x", metrics="x"))
+    df = parse(fine, *harmless, *unlinked, *none, *lost)
+    kept = 1 + len(harmless) + len(unlinked) + len(none)
+    assert values(df, F.col("status")) == ["ok"] * kept + ["bad_structure"] * len(lost)
+    assert values(records.outcome(df), F.col("outcome")) == (
+        ["processed"] * (1 + len(harmless)) + ["skipped"] * len(unlinked) + ["processed"] * len(none) + ["skipped"] * len(lost)
+    )
+    flat = records.flatten_cve(records.good_records(df), "ord")
+    assert flat.where("cve_id = 'CVE-2023-12345' and title = 'A title'").count() == kept
+    linked = links.commit_references(records.good_records(df), "ord")
+    assert sorted(r["ord"] for r in linked.collect()) == list(range(1 + len(harmless)))
+    assert values(records.good_records(df), records.products(F.col(R))) == [["nginx"]] + [[]] * len(harmless) + [["nginx"]] * (kept - 1 - len(harmless))
+
+
 def test_bad_encoding(spark):
     raw = spark.createDataFrame([(0, bytearray(b'{"a": "\xff"}'))], "ord int, raw binary")
     df = records.parse_records(raw.select("ord", F.col("raw").cast("string").alias("value")))
