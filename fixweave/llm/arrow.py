@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of a batch that are turned into Python objects at a time.
@@ -28,6 +29,22 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*[part.column(name).to_pylist() for name in names])
 
 
+class Shared:
+    """A broadcast object whose class travels with it, so executors need no copy of this package.
+
+    A worker process unpacks it once for all its tasks.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self.held, "unpacked"):
+            self.held.unpacked = cloudpickle.loads(self.held.value)
+        return self.held.unpacked
+
+
 class Output:
     """Collects rows and turns them into batches of the given Spark schema."""
 

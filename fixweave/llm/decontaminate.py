@@ -22,7 +22,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixweave.llm.arrow import Output, rows, texts
+from fixweave.llm.arrow import Output, Shared, rows, texts
 
 WINDOW = 10
 # Bytes of benchmark text that are turned into one broadcast table.
@@ -146,7 +146,7 @@ def benchmark_hits(
     df = texts(docs, id_col, text_col, starts=none, ends=none, item_ids=none)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == block).collect()
-        passages = spark.sparkContext.broadcast(Passages([(r["doc_id"], bytes(r["text"])) for r in part], window))
+        passages = Shared(spark, Passages([(r["doc_id"], bytes(r["text"])) for r in part], window))
         schema = _FOUND if block == blocks - 1 else _CARRIED
         df = df.mapInArrow(_pass(passages, schema), schema)
     return df

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixweave.llm.arrow import Output, rows, texts
+from fixweave.llm.arrow import Output, Shared, rows, texts
 from fixweave.session import staged
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -191,7 +191,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark, plain = docs.sparkSession, texts(docs, id_col, text_col)
     digests = staged(plain.mapInArrow(_digests, _DIGEST), "digests")
     suspects = staged(repeated_fingerprints(digests, digests.count()), "suspects")
-    bitmap = spark.sparkContext.broadcast(_suspects(suspects))
+    bitmap = Shared(spark, _suspects(suspects))
     bodies = plain.select("text").mapInArrow(_same_bytes(bitmap), "sha binary, body binary, size long")
     # The grouping key is the bytes themselves; a digest with two bodies would stop the job.
     bodies = bodies.groupBy("sha", "body").agg(F.sum("size").alias("size"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixweave.llm.arrow import Output, map_rows, rows
+from fixweave.llm.arrow import Output, Shared, map_rows, rows
 
 # Documents to fit on, most labels told apart, entries of each table, longest n-gram.
 SAMPLE, LANGUAGES, FEATURES, LONGEST = 3_000, 200, 100_000, 5
@@ -151,7 +151,7 @@ def identify(
     sample: int = SAMPLE, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (0 to 1) per row, and the columns named in ``keep``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, learn, id_col, text_col, lang_col, sample))
+    model = Shared(docs.sparkSession, fit(docs, learn, id_col, text_col, lang_col, sample))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString().replace('bigint', 'long')}" for c in keep)
 

@@ -19,7 +19,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame
 
-from fixweave.llm.arrow import map_rows, texts
+from fixweave.llm.arrow import Shared, map_rows, texts
 from fixweave.llm.decontaminate import letters_and_digits
 
 # Phrases of the base rule and their labels.
@@ -188,7 +188,7 @@ _SCANNED = (
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=tuple(TEMPLATES), phrases=PHRASES) -> DataFrame:
     """Base places, labels and covered template spans (in words) of every row."""
-    scanner = docs.sparkSession.sparkContext.broadcast(LicenseScanner(templates, phrases))
+    scanner = Shared(docs.sparkSession, LicenseScanner(templates, phrases))
 
     def one(doc_id, text):
         words = letters_and_digits(text)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixweave.llm.arrow import Output, arrow_schema, rows, texts
+from fixweave.llm.arrow import Output, Shared, arrow_schema, rows, texts
 from fixweave.llm.scale import components, pruned
 from fixweave.session import staged
 
@@ -364,7 +364,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     profile = staged(plain.mapInArrow(_profile(words), _PROFILE), "profile")
     described = profile.where("n is not null")
-    order = spark.sparkContext.broadcast(_order_table(profile))
+    order = Shared(spark, _order_table(profile))
     size = described.agg(F.sum("n")).first()[0] or 0
 
     classes = staged(

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixweave.llm.arrow import Output, rows
+from fixweave.llm.arrow import Output, Shared, rows
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE = 96, 48
@@ -423,5 +423,5 @@ def _scan(model):
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id`` and its spans as arrays ``kinds`` (place in ``KINDS``), ``starts``, ``ends``, ``base``."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(plain))
+    model = Shared(docs.sparkSession, fit(plain))
     return plain.mapInArrow(_scan(model), _FOUND)

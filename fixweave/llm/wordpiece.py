@@ -19,7 +19,7 @@ from collections import Counter, deque
 
 from pyspark.sql import DataFrame
 
-from fixweave.llm.arrow import map_rows, texts
+from fixweave.llm.arrow import Shared, map_rows, texts
 
 _REMEMBERED = 200_000
 
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, pieces: tuple[set[str], set[str]], id_col: str
 
     ``pieces`` come from a vocabulary file, whose size does not depend on the data.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(LongestMatch(*pieces))
+    automaton = Shared(docs.sparkSession, LongestMatch(*pieces))
 
     def one(doc_id, text):
         words = Counter(text.split()) if text else {}
