@@ -42,6 +42,8 @@ class Shared:
     def value(self):
         if not hasattr(self.held, "unpacked"):
             self.held.unpacked = cloudpickle.loads(self.held.value)
+            # The worker would keep the packed form as long as the broadcast lives.
+            del self.held._value
         return self.held.unpacked
 
 
