@@ -19,7 +19,7 @@ from fixweave.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
 from fixweave.llm.language import identify
 from fixweave.llm.mixing import mix_plan, training_order
 from fixweave.llm.ngram_join import ngram_components
-from fixweave.llm.queries import hits_digest
+from fixweave.llm.queries import RANKS, hits_digest
 from fixweave.llm.scale import components, without
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string"
@@ -292,3 +292,20 @@ def test_code_tree_and_windows():
         lead = lm_scoring.WINDOW - lm_scoring.STRIDE
         valid = targets >= 0
         assert (inputs[:, lead:][valid] == targets[valid] - 1).all()
+
+
+def test_scoring_learns_from_all_rows(spark, monkeypatch):
+    counted = []
+    tree = lm_scoring.CodeTree
+    monkeypatch.setattr(lm_scoring, "CodeTree", lambda counts: counted.append(counts) or tree(counts))
+    monkeypatch.setattr(lm_scoring, "PART", 12_000)
+    kinds = ("red blue red blue", "up down up down")
+    # More rows than were once sampled, one long text, and a kind of text for each half of the partitions.
+    rows = [(i, kinds[i >= 1_000]) for i in range(2_000)] + [(2_000, "up down " * 3_000), (2_001, None)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    scorer = lm_scoring.train(df.withColumn("text", F.col("text").cast("binary")), RANKS)
+    subwords = lm_scoring.Subwords(RANKS)
+    assert counted[0].sum() == sum(len(subwords((text or "").encode().split())) for _, text in rows)
+    assert counted[0][subwords.end] == len(rows)
+    seen, mixed = scorer.scores([[b"red", b"blue"] * 20, [b"up", b"down"] * 20]), scorer.scores([[b"red", b"down"] * 20, [b"up", b"blue"] * 20])
+    assert min(seen) > max(mixed) + 5
