@@ -98,7 +98,7 @@ def mix_plan(
     def one(number: Column) -> Column:
         before = number * F.col("source_size") + F.col("start")
         words = F.greatest(F.lit(0), F.least(F.col("size"), quota - before)).cast("long")
-        return F.struct(words.alias("words"), (demand_time(before / F.col("target"), F.col("slope")) * F.col("total")).alias("position"))
+        return F.struct(words.alias("words"), (demand_time(F.try_divide(before, F.col("target")), F.col("slope")) * F.col("total")).alias("position"))
 
     passes = F.filter(F.transform(F.sequence(F.lit(0), whole), one), lambda p: p["words"] > 0)
     return placed.select(

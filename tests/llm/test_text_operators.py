@@ -159,6 +159,15 @@ def test_mixing_reaches_its_targets(docs):
     assert places == sorted(places)
 
 
+def test_mixing_of_sources_without_words(spark):
+    schema = "doc_id long, text string, source string"
+    empty = [(1, None, "a"), (2, " \n", "a"), (3, "", None)]
+    found = {r["doc_id"]: r for r in training_order(mix_plan(spark.createDataFrame([*empty, (4, "x y z", "b")], schema))).collect()}
+    assert {i: (r["size"], r["taken"], r["target"]) for i, r in found.items()} == {1: (0, 0, 0.0), 2: (0, 0, 0.0), 3: (0, 0, 0.0), 4: (3, 4, 4.5)}
+    found = training_order(mix_plan(spark.createDataFrame(empty, schema))).collect()
+    assert [(r["taken"], r["passes"]) for r in found] == [(0, [])] * 3
+
+
 def test_language_accuracy_and_undetermined(spark):
     rng = random.Random(3)
     kinds = {"xx": vocabulary(60, 11), "yy": [w[::-1] + "z" for w in vocabulary(60, 12)]}
