@@ -21,34 +21,47 @@ from fixweave.session import staged
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``dropped`` (doc_id); rows with a null id stay."""
-    ids = staged(dropped.where("doc_id is not null").select("doc_id").distinct(), "dropped")
-    return without(docs, "doc_id", ids)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Stored documents with a key of their own for each row, as ids may repeat or be null."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose row is not among ``dropped`` (_row), each of which it names once."""
+    return without(keyed, "_row", staged(dropped.select("_row"), "dropped")).drop("_row")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told."""
-    found = identify(docs, F.col("lang").isNotNull())
-    return _without(docs, found.where(F.col("lang_pred") == UNDETERMINED))
+    keyed = _keyed(docs)
+    found = identify(keyed, F.col("lang").isNotNull(), keep=("_row",))
+    return _without(keyed, found.where(F.col("lang_pred") == UNDETERMINED))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    found = exact_duplicates(docs)
-    return _without(docs, found.where("not kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, exact_duplicates(keyed, row_col="_row").where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of linked texts."""
-    found = ngram_components(docs)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """Keeps the document with the smallest id of each group of linked texts."""
+    keyed = _keyed(docs)
+    found = ngram_components(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    linked = staged(found.where("_row <> group"), "linked")
+    members = linked.unionByName(linked.select(F.col("group").alias("_row"), "group").distinct())
+    members = members.join(keyed.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+    kept = members.groupBy("group").agg(first.alias("_row"))
+    return _without(keyed, members.select("_row").join(kept.select("_row"), "_row", "left_anti"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
+    keyed = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return _without(docs, benchmark_hits(docs, items).where(F.size("starts") > 0))
+    found = benchmark_hits(keyed, items, id_col="_row").where(F.size("starts") > 0)
+    return _without(keyed, found.select(F.col("doc_id").alias("_row")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

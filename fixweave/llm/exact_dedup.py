@@ -95,13 +95,14 @@ class CountingQuotientFilter:
 
 
 def _digests(batches):
+    """Rows without a key of their own are numbered."""
     out = Output(_DIGEST)
-    row = TaskContext.get().partitionId() << 40
-    for doc_id, text in rows(batches, "doc_id", "text"):
+    number = TaskContext.get().partitionId() << 40
+    for row, doc_id, text in rows(batches, "row", "doc_id", "text"):
         sha = hashlib.sha256(normalised(text)).digest()
         points = len(text.decode("utf-8", "replace")) if text else 0
-        yield from out.add(row, doc_id, points, sha, int.from_bytes(sha[:8], "little", signed=True))
-        row += 1
+        yield from out.add(number if row is None else row, doc_id, points, sha, int.from_bytes(sha[:8], "little", signed=True))
+        number += 1
     yield from out.flush()
 
 
@@ -186,9 +187,13 @@ def _same_bytes(bitmap):
     return run
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` for every row; see the module text."""
-    spark, plain = docs.sparkSession, texts(docs, id_col, text_col)
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` for every row; see the module text.
+
+    ``row_col`` names a column of distinct longs that tells rows apart; it is returned, too.
+    """
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    spark, plain = docs.sparkSession, texts(docs, id_col, text_col, row=row)
     digests = staged(plain.mapInArrow(_digests, _DIGEST), "digests")
     suspects = staged(repeated_fingerprints(digests, digests.count()), "suspects")
     bitmap = Shared(spark, _suspects(suspects))
@@ -209,4 +214,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
