@@ -4,11 +4,13 @@ Greedy word-piece splitting takes the longest vocabulary entry that starts a wor
 then the longest continuation, and so on. The automaton is a trie of the vocabulary
 with a second root for continuations. A node's failure link says where the walk goes
 on when no child fits: past the pieces that greedy splitting would have emitted by
-then, whose number is stored with the link. Each character is looked at once, and
-only the number of pieces is kept.
+then, whose number is stored with the link. Each symbol is looked at once, and only
+the number of pieces is kept. Symbols are bytes, so pieces may end inside a character.
 
-A word that cannot be split is one unknown token. Words are the stretches without
-ASCII white space. Words met before are looked up in a memory of bounded size. Null
+Words are the stretches without ASCII white space. An entry with the mark of a space
+starts words; where no longer one fits, the mark alone is the first piece. A word that
+cannot be split is one unknown token; a vocabulary that has the mark and all single
+bytes leaves none. Words met before are looked up in a memory of bounded size. Null
 texts have no words. Rows that repeat an id are counted one by one.
 """
 
@@ -22,14 +24,16 @@ from pyspark.sql import DataFrame
 from fixweave.llm.arrow import Shared, map_rows, texts
 
 _REMEMBERED = 200_000
+# What entries that start a word begin with.
+MARK = b" "
 
 
 class LongestMatch:
-    """Number of pieces per word, for initial pieces and continuations given as texts."""
+    """Number of pieces per word, for initial pieces and continuations given as texts or bytes."""
 
-    def __init__(self, initial: set[str], continuing: set[str]):
+    def __init__(self, initial: set, continuing: set):
         # Node 0 starts a word, node 1 a continuation.
-        self.next: list[dict[str, int]] = [{}, {}]
+        self.next: list[dict] = [{}, {}]
         self.fail: list[int] = [-1, -1]
         self.popped: list[int] = [0, 0]
         whole = [False, False]
@@ -59,9 +63,9 @@ class LongestMatch:
                     if at >= 0:
                         self.fail[node], self.popped[node] = self.next[at][char], count
                 queue.append(node)
-        self.seen: dict[str, int] = {}
+        self.seen: dict[bytes, int] = {}
 
-    def split(self, word: str) -> int:
+    def split(self, word) -> int:
         """Number of pieces; 0 if the word cannot be split."""
         next_, fail, popped = self.next, self.fail, self.popped
         at = count = 0
@@ -80,20 +84,21 @@ class LongestMatch:
             at = fail[at]
         return count if at == 1 else 0
 
-    def pieces(self, word: str) -> int:
+    def pieces(self, word: bytes) -> int:
+        """Number of pieces of a word and the mark before it."""
         found = self.seen.get(word)
         if found is None:
             if len(self.seen) >= _REMEMBERED:
                 self.seen.clear()
-            self.seen[word] = found = self.split(word)
+            self.seen[word] = found = self.split(MARK + word)
         return found
 
 
-def vocabulary(path: str) -> tuple[set[str], set[str]]:
-    """Initial and continuing pieces of a byte-level vocabulary file.
+def vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
+    """Initial and continuing pieces of a byte-level vocabulary file: all its entries, as bytes.
 
     The file's entries that begin with the mark of a space start words, the others
-    go on inside words; both as texts, where the bytes of an entry are whole characters.
+    go on inside words.
     """
     with open(path, encoding="utf-8") as file:
         entries = json.load(file)["model"]["vocab"]
@@ -101,22 +106,12 @@ def vocabulary(path: str) -> tuple[set[str], set[str]]:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    initial, continuing = set(), set()
-    for entry in entries:
-        if any(c not in byte_of for c in entry):
-            continue
-        try:
-            text = bytes(byte_of[c] for c in entry).decode()
-        except UnicodeDecodeError:
-            continue
-        if text.startswith(" "):
-            initial.add(text[1:])
-        else:
-            continuing.add(text)
-    return {p for p in initial if p and not p.isspace()}, {p for p in continuing if p and not p.isspace()}
-
-
-def token_counts(docs: DataFrame, pieces: tuple[set[str], set[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    pieces = {bytes(byte_of[c] for c in entry) for entry in entries if all(c in byte_of for c in entry)}
+    initial = {p for p in pieces if p.startswith(MARK)}
+    return initial, pieces - initial
+
+
+def token_counts(docs: DataFrame, pieces: tuple[set[bytes], set[bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_tokens`` and ``n_unknown`` of every row.
 
     ``pieces`` come from a vocabulary file, whose size does not depend on the data.
@@ -128,7 +123,7 @@ def token_counts(docs: DataFrame, pieces: tuple[set[str], set[str]], id_col: str
         count = automaton.value.pieces
         tokens = unknown = total = 0
         for word, times in words.items():
-            found = count(word.decode("utf-8", "replace"))
+            found = count(word)
             tokens += times * (found or 1)
             unknown += 0 if found else times
             total += times

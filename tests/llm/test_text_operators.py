@@ -19,7 +19,7 @@ from fixweave.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
 from fixweave.llm.language import identify
 from fixweave.llm.mixing import mix_plan, training_order
 from fixweave.llm.ngram_join import ngram_components
-from fixweave.llm.queries import RANKS, hits_digest
+from fixweave.llm.queries import RANKS, VOCABULARY, hits_digest
 from fixweave.llm.scale import components, without
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string"
@@ -232,6 +232,23 @@ def test_longest_match_counts():
         assert automaton.split(word) == greedy(word), word
 
 
+def test_every_word_has_its_pieces(spark):
+    words = ["the", "été", "d\u2019été", "\u4f60\u597d\u4e16\u754c", "\u3053\u3093\u306b\u3061\u306f", "\u043f\u0440\u0438\u0432\u0435\u0442", "\U0001f984x", "\u0153uvre"]
+    initial, continuing = pieces = wordpiece.vocabulary(VOCABULARY)
+
+    def greedy(word):
+        at, count, text = 0, 0, b" " + word.encode()
+        while at < len(text):
+            at = next(e for e in range(len(text), at, -1) if text[at:e] in (continuing if at else initial))
+            count += 1
+        return count
+
+    df = spark.createDataFrame([(1, " ".join(words)), (2, None), *[(3 + i, w) for i, w in enumerate(words)]], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_words"], r["n_tokens"], r["n_unknown"]) for r in wordpiece.token_counts(df, pieces).collect()}
+    assert found == {1: (len(words), sum(map(greedy, words)), 0), 2: (0, 0, 0)} | {3 + i: (1, greedy(w), 0) for i, w in enumerate(words)}
+    assert all(bytes([b]) in initial | continuing for b in range(256))
+
+
 def test_license_phrases_and_templates(spark):
     rows = [
         (1, "x Released under the MIT License. y under the mit license"), (2, None), (3, "licensed under the GNU General Public License, version 3"),
