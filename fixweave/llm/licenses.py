@@ -5,7 +5,12 @@ through it gives matching statistics: for each word the longest run ending there
 that some template has. Runs that cannot be made longer and have at least
 ``SHORTEST`` words are placed in the templates that have them, and chained where
 document and template go on in the same order with small gaps. A chain that covers
-enough of its template, or one of the fixed phrases, is a span of its licence.
+enough of its template, or one of the fixed phrases, is a span of its licence. Where
+chains overlap, the one that covers most of its template stays, then the one of more
+words; licences that differ in a word or two are told apart so.
+
+MIT, BSD and ISC licences have a template for each paragraph, so any part is found. Of
+licences of many pages only the notices and openings are templates.
 
 Words outside all templates reset the automaton, so only stretches of template
 words are streamed. Null texts are empty: no words, no labels, score 0. Rows that
@@ -15,6 +20,7 @@ repeat an id are scanned one by one.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -29,25 +35,47 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Openings and notices of public licences.
+_NOTICE = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+_ONLY = "you can redistribute it and or modify it under the terms of the gnu {} version {} as published by the free software foundation"
+_GNU = [
+    ("gpl-1", "general public license", "1"), ("gpl-2", "general public license", "2"), ("gpl-3", "general public license", "3"),
+    ("lgpl-2", "library general public license", "2"), ("lgpl-2.1", "lesser general public license", "2 1"),
+    ("lgpl-3", "lesser general public license", "3"), ("agpl-3", "affero general public license", "3"),
+]
+
+# Short licences by paragraph, openings and notices of the others.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "released under the mit license"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    *[(label, _NOTICE.format(what, name, version)) for label, name, version in _GNU for what in ("program", "library")],
+    *[(label, _ONLY.format(name, version)) for label, name, version in _GNU],
+    *[(label, f"licensed under the gnu {name} version {version}") for label, name, version in _GNU],
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd", "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("isc", "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
@@ -157,8 +185,21 @@ class LicenseScanner:
                 by_template[template].append((text_start, start, size))
         spans = []
         for template, found in by_template.items():
-            spans += [(self.labels[template], a, b, c / self.sizes[template]) for a, b, c in _chains(sorted(found))]
-        return places, [s for s in spans if s[3] >= COVERED]
+            size = self.sizes[template]
+            spans += [(c / size, c, a, b, self.labels[template]) for a, b, c in _chains(sorted(found)) if c / size >= COVERED]
+        return places, [(label, a, b, part) for part, _, a, b, label in _best(spans)]
+
+
+def _best(spans: list[tuple[float, int, int, int, str]]) -> list[tuple[float, int, int, int, str]]:
+    """Spans (part, words covered, first word, end, label) that overlap no better one that stays."""
+    kept, starts = [], []
+    for span in sorted(set(spans), reverse=True):
+        at = bisect(starts, span[2])
+        near = [*kept[max(0, at - 1):at], *kept[at:at + 1]]
+        if all(k[3] <= span[2] or span[3] <= k[2] for k in near):
+            kept.insert(at, span)
+            starts.insert(at, span[2])
+    return kept
 
 
 _RUN = re.compile(b"\x00+")

@@ -261,6 +261,26 @@ def test_license_phrases_and_templates(spark):
     assert (found[4]["labels"], found[5]["base_labels"]) == ("", "cc-by-nc")
 
 
+def test_licenses_that_differ_little():
+    scanner = licenses.LicenseScanner()
+
+    def labels(text):
+        return {label for label, *_ in scanner.scan(licenses.letters_and_digits(text.encode()))[1]}
+
+    notice = (
+        "x This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the "
+        "Free Software Foundation, either version {} of the License, or (at your option) any later version. y"
+    )
+    names = {"gpl": "General Public License", "lgpl": "Lesser General Public License", "agpl": "Affero General Public License"}
+    for kind, version in [("gpl", "2"), ("gpl", "3"), ("lgpl", "2.1"), ("lgpl", "3"), ("agpl", "3")]:
+        assert labels(notice.format(names[kind], version)) == {f"{kind}-{version}"}
+        assert labels(f"licensed under the GNU {names[kind]}, version {version}") == {f"{kind}-{version}"}
+    assert labels(notice.format(names["gpl"], "2") + " z" * 20 + notice.format(names["agpl"], "3")) == {"gpl-2", "agpl-3"}
+    assert labels("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.") == {"mit"}
+    assert labels("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.") == {"isc"}
+    assert labels("2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.") == {"bsd"}
+
+
 def test_matching_statistics():
     rng = random.Random(6)
     sequences = [[rng.randint(0, 3) for _ in range(12)] for _ in range(3)]
