@@ -85,6 +85,12 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def record_batch(schema: str, *columns) -> pa.RecordBatch:
+    """A batch of the given Spark schema from whole columns."""
+    fields = arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+
+
 def map_rows(df: DataFrame, names: list[str], one: Callable[..., tuple], schema: str) -> DataFrame:
     """One row out for each row in; ``one`` gets the values of the named columns."""
 

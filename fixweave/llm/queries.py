@@ -170,3 +170,43 @@ def op3_lm_scoring(spark, sf_dir):
     from fixweave.llm.lm_scoring import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), RANKS)
+
+
+@query()
+def op11_toxicity(spark, sf_dir):
+    from fixweave.llm.language import held_out
+    from fixweave.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 0))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    from fixweave.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    from fixweave.llm.periodic import periodic_runs, with_planted_repeats
+
+    return runs_digest(periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
+def runs_digest(found):
+    runs = F.arrays_zip("starts", "lengths", "periods")
+    least = F.struct(F.lit(None).cast("long").alias("length"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("period"))
+    ranked = F.transform(runs, lambda r: F.struct(r["lengths"].alias("length"), (-r["starts"]).alias("start"), (-r["periods"]).alias("period")))
+    best = F.coalesce(F.array_max(ranked), least)
+    said = F.transform(runs, lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("starts", "lengths", "periods")]))
+    lines = F.array_join(F.transform(said, lambda line: F.concat(line, F.lit("\n"))), "")
+    df = found.select("doc_id", F.size("starts").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.period")
+    return df.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
