@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fixweave.session import staged
+from fixweave.session import scratch_folder, staged, staged_buckets
+from fixweave.sources.store import TableStore
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -229,3 +230,30 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 base(spark, sf_dir, table).createOrReplaceTempView(table)
         _LANDED[key] = staged(spark.sql(sql), name)
     return _LANDED[key]
+
+
+_STORES: dict[tuple[str, str], TableStore] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> TableStore:
+    """A store that holds the flat records, commits and functions of the fixtures, published once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        made = TableStore(spark, scratch_folder(spark, "stored"), buckets=4)
+        functions = fixture(spark, sf_dir, "fx_file_change").selectExpr(
+            "md5(CAST(file_ord AS STRING)) AS function_id", "repo_url", "commit_sha", "coalesce(new_path, old_path) AS file_path",
+            "'f' || CAST(file_ord % 7 AS STRING) AS method_name", "diff AS vuln_function",
+        )
+        made.publish(
+            {"cve": fixture(spark, sf_dir, "fx_cve"), "commits": fixture(spark, sf_dir, "fx_commits"), "functions": functions}
+        )
+        _STORES[key] = made
+    return _STORES[key]
+
+
+def bucketed(spark: SparkSession, sf_dir: str, name: str, where: str, keys: list[str]) -> DataFrame:
+    """Rows of a fixture as a stored table that is bucketed by its keys, landed once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name}|{where}")
+    if key not in _LANDED:
+        _LANDED[key] = staged_buckets(fixture(spark, sf_dir, name).where(where), name, keys)
+    return _LANDED[key]

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
-from catalog.fixtures import base, fixture
+from catalog import patches as file_side
+from catalog.fixtures import base, bucketed, fixture
 from catalog.registry import query
 from fixweave.functions import code as C
 from fixweave.functions.pytext import raw_lines, line_total
 from fixweave.operators import audit, fetch, merge, methods, pairing
+from fixweave.operators import patches as P
 from fixweave.plans.enrich import enrich
 from fixweave.plans import enrich as enrich_plan
 from fixweave.session import scratch_folder
@@ -314,12 +319,13 @@ def sha_exact(spark, sf_dir):
     return fetch.sha_exact(fixture(spark, sf_dir, "fx_commit_raw"))
 
 
+def _phrases(listed: list[str]) -> str:
+    return " OR ".join(f"contains(lower(message), '{p}')" for p in listed)
+
+
 def _classified(lax: bool) -> str:
-    phrases = ["could not read username", "authentication failed", "repository not found", "terminal prompts disabled"]
-    phrases += ["project not found", "access denied"] if lax else []
-    fetch_hit = " OR ".join(f"contains(lower(message), '{p}')" for p in phrases)
-    access = ["could not read username", "authentication failed", "repository not found", "fatal: could not", "terminal prompts disabled", "support for password authentication was removed", "project not found", "access denied", "not enough permissions"]
-    access_hit = " OR ".join(f"contains(lower(message), '{p}')" for p in access)
+    fetch_hit = _phrases(fetch.LAX_FETCH_PHRASES if lax else fetch.FETCH_PHRASES)
+    access_hit = _phrases(fetch.ACCESS_PHRASES)
     host = "NOT contains(repo_url, 'github.com')" if lax else "false"
     return f"""SELECT *, CASE WHEN {host} THEN 'unsupported_platform' WHEN ok THEN NULL WHEN phase = 'access' OR ({fetch_hit}) THEN 'repo_inaccessible' ELSE 'commit_fetch_failed' END AS skip_reason,
  ({host} OR NOT ok) AND CASE WHEN phase = 'access' THEN ({access_hit}) ELSE ({fetch_hit}) END AS is_private FROM fx_fetch_log"""
@@ -348,12 +354,12 @@ _OUTCOME = "CASE WHEN contains(lower(error), 'repository not found') THEN 'repo_
 
 
 @query(
-    f"SELECT count(*) AS commits_found, count(*) FILTER (WHERE r IS NULL) AS commits_saved, count(r) AS commits_failed, (SELECT count(*) FROM fx_cve_commit) AS patches_saved FROM (SELECT {_OUTCOME} AS r FROM fx_commit_raw)",
-    ["fx_commit_raw", "fx_cve_commit"],
+    f"{file_side.PATCHES}\nSELECT count(*) AS commits_found, count(*) FILTER (WHERE r IS NULL) AS commits_saved, count(r) AS commits_failed, (SELECT count(*) FROM p) AS patches_saved FROM (SELECT {_OUTCOME} AS r FROM fx_commit_raw)",
+    ["fx_commit_raw", "fx_file_change"],
 )
 def enrich_counters(spark, sf_dir):
     outcomes = fetch.commit_outcome(fixture(spark, sf_dir, "fx_commit_raw"))
-    return fetch.enrich_counters(outcomes, fixture(spark, sf_dir, "fx_cve_commit"))
+    return fetch.enrich_counters(outcomes, P.build_patches(fixture(spark, sf_dir, "fx_file_change")))
 
 
 # ---- the whole enrichment job: every commit is linked under one or two URLs -----------------
@@ -390,28 +396,74 @@ def enrich_commits(spark, sf_dir):
 _EXT = "CASE WHEN {p} LIKE '%.c' THEN 'c' WHEN {p} LIKE '%.py' THEN 'python' ELSE 'unknown' END"
 
 
+# Commits whose hash starts with a digit are landed twice.
+_AGAIN = "commit_sha < 'a'"
+
+
 @query(
     f"""k AS (SELECT repo_url, commit_sha, {S.choose('old_path', 'new_path')} AS a, {S.choose('new_path', 'old_path')} AS b FROM fx_source_file)
-SELECT DISTINCT repo_url, commit_sha, b AS file_path, {_EXT.format(p='b')} AS language, 1 AS added_lines, 1 AS removed_lines FROM k WHERE NOT {S.skip('a')} AND NOT {S.skip('b')}""",
+SELECT DISTINCT repo_url, commit_sha, b AS file_path, {_EXT.format(p='b')} AS language, CASE WHEN {_AGAIN} THEN 2 ELSE 1 END AS added_lines, 1 AS removed_lines FROM k WHERE NOT {S.skip('a')} AND NOT {S.skip('b')}""",
     ["fx_source_file"],
 )
 def enrich_stored_patches(spark, sf_dir):
-    """The enrichment job run twice on a store: patches are merged, not doubled."""
-    store = TableStore(spark, scratch_folder(spark, "enrich"))
+    """The enrichment job on a store, then some commits landed again: one more added line, no language.
+
+    Stored patches take the new counts and keep the language that the second landing lacks.
+    """
+    store = TableStore(spark, scratch_folder(spark, "enrich"), buckets=4)
     wanted, fetched, files, spans = _landed(spark, sf_dir)
     store.publish({"cve_commit": wanted.withColumn("cve_id", F.lit("CVE-1"))})
     enrich_plan.enrich_commits(store, fetched, files, spans)
-    enrich_plan.enrich_commits(store, fetched, files, spans)
+    longer = files.where(_AGAIN).withColumn("diff", F.expr("diff || chr(10) || '+more'"))
+    again = P.build_patches(longer).withColumn("language", F.lit(None).cast("string"))
+    store.upsert({"patch": (again, F.col("file_ord"))})
     return store.read("patch").select("repo_url", "commit_sha", "file_path", "language", "added_lines", "removed_lines")
 
 
+# A diff of a commit in eleven is broken; repositories r2 and r5 are closed to us.
+_POISONED = "file_ord = 3 AND substr(commit_sha, 1, 1) IN ('1', 'b')"
+
+
+@query(
+    f"""{STRICT},
+w AS (SELECT DISTINCT repo_url, commit_sha, commit_url FROM ({_LINKED}) WHERE repo_url NOT LIKE '%/r2' AND repo_url NOT LIKE '%/r5'),
+bad AS (SELECT DISTINCT repo_url, commit_sha FROM fx_source_file WHERE {_POISONED} AND NOT {S.skip(S.choose('old_path', 'new_path'))} AND NOT {S.skip(S.choose('new_path', 'old_path'))}),
+k AS (SELECT repo_url, commit_sha, {S.choose('old_path', 'new_path')} AS a, {S.choose('new_path', 'old_path')} AS b FROM fx_source_file),
+n AS (SELECT repo_url, commit_sha, count(DISTINCT b) AS patches FROM k WHERE NOT {S.skip('a')} AND NOT {S.skip('b')} AND (repo_url, commit_sha) NOT IN (SELECT (repo_url, commit_sha) FROM bad) GROUP BY 1, 2),
+real AS (SELECT * FROM strict WHERE {_REASON} IS NULL QUALIFY row_number() OVER (PARTITION BY repo_url, commit_sha, file_path, method_name, vuln_start_line ORDER BY file_ord, ord) = 1),
+f AS (SELECT r.repo_url, r.commit_sha, count(*) AS functions FROM real r JOIN w USING (repo_url, commit_sha) GROUP BY 1, 2)
+SELECT c.repo_url, c.commit_sha, coalesce(patches, 0) AS patches, coalesce(functions, 0) AS functions, CASE WHEN bad.commit_sha IS NOT NULL THEN 'diff is not valid UTF-8' END AS patch_error
+FROM (SELECT DISTINCT repo_url, commit_sha FROM w) c LEFT JOIN n USING (repo_url, commit_sha) LEFT JOIN f USING (repo_url, commit_sha) LEFT JOIN bad USING (repo_url, commit_sha)""",
+    SOURCES,
+)
+def enrich_isolated(spark, sf_dir):
+    """Broken diffs and closed repositories among the landed data: all other rows are stored."""
+    store = TableStore(spark, scratch_folder(spark, "enrich"), buckets=4)
+    wanted, fetched, files, spans = _landed(spark, sf_dir)
+    files = files.withColumn("diff", F.when(F.expr(_POISONED), F.expr("CAST(unhex('2B61C30A') AS STRING)")).otherwise(F.col("diff")))
+    repos = files.select("repo_url").distinct()
+    log = repos.selectExpr(
+        "1L AS seq", "repo_url", "'access' AS phase", "repo_url NOT LIKE '%/r2' AND repo_url NOT LIKE '%/r5' AS ok", "'' AS message"
+    )
+    store.publish({"cve_commit": wanted.withColumn("cve_id", F.lit("CVE-1"))})
+    errors = enrich_plan.enrich_commits(store, fetched, files, spans, log).errors
+    place = ["repo_url", "commit_sha"]
+    counted = store.read("commits").select("repo_url", F.col("sha").alias("commit_sha"))
+    for name in ("patch", "functions"):
+        column = "patches" if name == "patch" else name
+        counted = counted.join(store.read(name).groupBy(*place).agg(F.count("*").alias(column)), place, "left")
+    return counted.join(errors, place, "left").select(
+        *place, F.coalesce("patches", F.lit(0)).alias("patches"), F.coalesce("functions", F.lit(0)).alias("functions"), "patch_error"
+    )
+
+
 # ---- merges --------------------------------------------------------------------------------
 UPSERT = ["fx_upsert"]
 
 
 def _upsert(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_upsert")
-    return rows.where("ord = -1").select("k", "c1", "c2"), rows.where("ord >= 0")
+    stored = bucketed(spark, sf_dir, "fx_upsert", "ord = -1", ["k"]).select("k", "c1", "c2")
+    return stored, fixture(spark, sf_dir, "fx_upsert").where("ord >= 0")
 
 
 @query("SELECT k, c1, c2 FROM fx_upsert QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1", UPSERT)
@@ -448,6 +500,7 @@ def append_functions(spark, sf_dir):
 
 # ---- audit and cascades -------------------------------------------------------------------
 AUDITED = ["fx_cve", "fx_cve_commit", "fx_commits", "fx_file_change"]
+_NAMELESS = "CASE WHEN file_ord % 50 = 0 THEN '' WHEN file_ord % 49 = 0 THEN CAST(NULL AS STRING) ELSE repo_url END"
 _PATCH_KEYS = "pk AS (SELECT repo_url, commit_sha, coalesce(new_path, old_path) AS file_path FROM fx_file_change)"
 
 
@@ -458,11 +511,13 @@ def _audit_tables(spark, sf_dir):
         "cve_commit": fixture(spark, sf_dir, "fx_cve_commit").withColumn("cve_id", F.expr("replace(cve_id, '7', '8')")),
         "commits": fixture(spark, sf_dir, "fx_commits").withColumn("commit_url", F.expr("substr(commit_url, 1, 23)")),
         "patch": files.selectExpr("repo_url", "commit_sha", "coalesce(new_path, old_path) AS file_path"),
+        "functions": files.selectExpr(f"{_NAMELESS} AS repo_url", "commit_sha"),
     }
 
 
 @query(
     f"""{_PATCH_KEYS},
+fk AS (SELECT {_NAMELESS} AS repo_url, commit_sha FROM fx_file_change),
 cc AS (SELECT * REPLACE (replace(cve_id, '7', '8') AS cve_id) FROM fx_cve_commit),
 co AS (SELECT * REPLACE (substr(commit_url, 1, 23) AS commit_url) FROM fx_commits)
 SELECT 'not_null' AS "check", 'patch' AS "table", 'repo_url,commit_sha,file_path' AS columns, repo_url || '|' || commit_sha || '|<null>' AS key, count(*) AS n FROM pk WHERE file_path IS NULL GROUP BY ALL
@@ -470,7 +525,10 @@ UNION ALL SELECT 'unique', 'cve_commit', 'cve_id,repo_url,commit_sha', cve_id ||
 UNION ALL SELECT 'unique', 'commits', 'commit_url', commit_url, count(*) FROM co GROUP BY ALL HAVING count(*) > 1
 UNION ALL SELECT 'unique', 'patch', 'repo_url,commit_sha,file_path', repo_url || '|' || commit_sha || '|' || file_path, count(*) FROM pk WHERE file_path IS NOT NULL GROUP BY ALL HAVING count(*) > 1
 UNION ALL SELECT 'foreign_key', 'cve_commit', 'cve_id', cve_id, count(*) FROM cc WHERE cve_id NOT IN (SELECT cve_id FROM fx_cve) GROUP BY ALL
-UNION ALL SELECT 'foreign_key', 'patch', 'repo_url,commit_sha', repo_url || '|' || commit_sha, count(*) FROM pk WHERE (repo_url, commit_sha) NOT IN (SELECT (repo_url, sha) FROM fx_commits) GROUP BY ALL""",
+UNION ALL SELECT 'foreign_key', 'patch', 'repo_url,commit_sha', repo_url || '|' || commit_sha, count(*) FROM pk WHERE (repo_url, commit_sha) NOT IN (SELECT (repo_url, sha) FROM fx_commits) GROUP BY ALL
+UNION ALL SELECT 'not_null', 'functions', 'repo_url,commit_sha', '<null>|' || commit_sha, count(*) FROM fk WHERE repo_url IS NULL GROUP BY ALL
+UNION ALL SELECT 'foreign_key', 'functions', 'repo_url,commit_sha', repo_url || '|' || commit_sha, count(*) FROM fk WHERE repo_url IS NOT NULL AND (repo_url, commit_sha) NOT IN (SELECT (repo_url, sha) FROM fx_commits) GROUP BY ALL
+UNION ALL SELECT 'empty_repo_url', 'functions', 'repo_url', '', count(*) FROM fk WHERE repo_url = '' HAVING count(*) > 0""",
     AUDITED,
 )
 def integrity_audit(spark, sf_dir):
@@ -478,22 +536,28 @@ def integrity_audit(spark, sf_dir):
 
 
 @query(
-    """d AS (SELECT repo_url, sha FROM fx_commits WHERE message = 'fix BUILDING')
+    f"""d AS (SELECT repo_url, sha FROM fx_commits WHERE message = 'fix BUILDING'),
+cc AS (SELECT * REPLACE (replace(cve_id, '7', '8') AS cve_id) FROM fx_cve_commit),
+dv AS (SELECT cve_id FROM fx_cve WHERE severity = 'HIGH')
 SELECT 'commits' AS "table", count(*) AS n, count(DISTINCT repo_url || sha) AS keys FROM fx_commits WHERE message <> 'fix BUILDING'
 UNION ALL SELECT 'patch', count(*), count(DISTINCT repo_url || commit_sha) FROM fx_file_change WHERE (repo_url, commit_sha) NOT IN (SELECT (repo_url, sha) FROM d)
-UNION ALL SELECT 'cve_commit', count(*), count(DISTINCT repo_url || commit_sha) FROM fx_cve_commit""",
+UNION ALL SELECT 'functions', count(*), count(DISTINCT repo_url || commit_sha) FROM (SELECT {_NAMELESS} AS repo_url, commit_sha FROM fx_file_change) f WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repo_url = f.repo_url AND d.sha = f.commit_sha)
+UNION ALL SELECT 'cve', count(*), count(DISTINCT cve_id) FROM fx_cve WHERE severity IS DISTINCT FROM 'HIGH'
+UNION ALL SELECT 'cve_commit', count(*), count(DISTINCT repo_url || commit_sha) FROM cc WHERE cve_id NOT IN (SELECT cve_id FROM dv)""",
     AUDITED,
 )
 def cascade_delete(spark, sf_dir):
+    """Commits go with their patches and functions, then records with their links."""
     tables = _audit_tables(spark, sf_dir)
-    doomed = tables["commits"].where("message = 'fix BUILDING'")
-    left = audit.cascade_delete(tables, "commits", doomed)
+    left = audit.cascade_delete(tables, "commits", tables["commits"].where("message = 'fix BUILDING'"))
+    left = audit.cascade_delete(left, "cve", tables["cve"].where("severity = 'HIGH'"))
+    keys = {"commits": "repo_url || sha", "cve": "cve_id"}
     counts = [
-        left[name].agg(F.count("*").alias("n"), F.expr(f"count(DISTINCT repo_url || {sha})").alias("keys"))
+        df.agg(F.count("*").alias("n"), F.expr(f"count(DISTINCT {keys.get(name, 'repo_url || commit_sha')})").alias("keys"))
         .select(F.lit(name).alias("table"), "n", "keys")
-        for name, sha in (("commits", "sha"), ("patch", "commit_sha"), ("cve_commit", "commit_sha"))
+        for name, df in left.items()
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
-from catalog.fixtures import fixture
+from catalog.fixtures import fixture, store
 from catalog.registry import query
 from fixweave.functions import paths
 from fixweave.operators import lookups, patches as P
@@ -114,12 +114,13 @@ def build_patches(spark, sf_dir):
 # ---- lookups ------------------------------------------------------------------------
 @query("SELECT * FROM fx_cve WHERE published BETWEEN '1996-01-01' AND '1997-12-31T23:59:59.999Z'", ["fx_cve"])
 def cve_by_published(spark, sf_dir):
-    return lookups.cve_by_published(fixture(spark, sf_dir, "fx_cve"), "1996-01-01", "1997-12-31T23:59:59.999Z")
+    first, last = "1996-01-01", "1997-12-31T23:59:59.999Z"
+    return lookups.cve_by_published(store(spark, sf_dir).read("cve", first, last), first, last)
 
 
 @query("SELECT * FROM fx_cve WHERE severity = 'CRITICAL'", ["fx_cve"])
 def cve_by_severity(spark, sf_dir):
-    return lookups.cve_by_severity(fixture(spark, sf_dir, "fx_cve"), "CRITICAL")
+    return lookups.cve_by_severity(store(spark, sf_dir).read("cve"), "CRITICAL")
 
 
 @query("SELECT severity, count(*) AS n FROM fx_cve GROUP BY severity", ["fx_cve"])
@@ -138,7 +139,8 @@ def cve_commit_lookup(spark, sf_dir):
 
 @query("SELECT * FROM fx_commits WHERE commit_date BETWEEN '2003-01-01' AND '2010-12-31'", ["fx_commits"])
 def commits_by_date(spark, sf_dir):
-    return lookups.commits_by_date(fixture(spark, sf_dir, "fx_commits"), "2003-01-01", "2010-12-31")
+    first, last = "2003-01-01", "2010-12-31"
+    return lookups.commits_by_date(store(spark, sf_dir).read("commits", first, last), first, last)
 
 
 @query(
@@ -150,6 +152,18 @@ def patches_of_commit(spark, sf_dir):
     return lookups.patches_of_commits(patches, fixture(spark, sf_dir, "fx_commits"))
 
 
+@query(
+    """SELECT md5(CAST(f.file_ord AS VARCHAR)) AS function_id, f.repo_url, f.commit_sha, coalesce(f.new_path, f.old_path) AS file_path, 'f' || (f.file_ord % 7) AS method_name, f.diff AS vuln_function, c.commit_date, c.author
+ FROM fx_file_change f JOIN fx_commits c ON c.repo_url = f.repo_url AND c.sha = f.commit_sha""",
+    ["fx_file_change", "fx_commits"],
+)
+def functions_of_commit(spark, sf_dir):
+    """Stored functions of every commit that is stored."""
+    kept = store(spark, sf_dir)
+    found = lookups.functions_of_commits(kept.read("functions"), kept.read("commits"))
+    return found.select("function_id", "repo_url", "commit_sha", "file_path", "method_name", "vuln_function", "commit_date", "author")
+
+
 @query(
     f"{PATCHES}\nSELECT language, count(*) AS files, CAST(sum(added_lines) AS BIGINT) AS added_lines, CAST(sum(removed_lines) AS BIGINT) AS removed_lines FROM p GROUP BY language",
     FILES,

@@ -18,8 +18,9 @@ from fixweave import schemas
 from fixweave.functions.urls import commit_key, detect_platform, parse_commit_url
 from fixweave.operators import links as L
 from fixweave.operators import records as R
-from fixweave.plans.ingest import open_fixes
-from fixweave.session import scratch_folder
+from fixweave.plans.enrich import Landed
+from fixweave.plans.ingest import ingest_release, open_fixes
+from fixweave.session import scratch_folder, staged
 from fixweave.sources import records as scans
 from fixweave.sources.store import TableStore, sync_decision, upsert_sync_state
 
@@ -87,11 +88,28 @@ def parse_guard(spark, sf_dir):
 
 @query("SELECT cve_id, title, published, severity, cvss_score, cwe, state FROM fx_cve", ["fx_cve"])
 def sink_tables(spark, sf_dir):
-    store = TableStore(spark, scratch_folder(spark, "sink"))
+    store = TableStore(spark, scratch_folder(spark, "sink"), buckets=4)
     cve = fixture(spark, sf_dir, "fx_cve")
     # A second version replaces the first without touching its files.
     store.publish({"cve": cve.withColumn("state", F.lit("OLD"))})
-    store.publish({"cve": cve, "cve_commit": fixture(spark, sf_dir, "fx_cve_commit")}, sort_by={"cve": ["published"]})
+    store.publish({"cve": cve, "cve_commit": fixture(spark, sf_dir, "fx_cve_commit")})
+    return store.read("cve")
+
+
+@query(
+    """SELECT cve_id, CASE WHEN severity = 'LOW' THEN NULL ELSE title END AS title, published, severity, cvss_score, cwe, CASE WHEN severity = 'LOW' THEN 'LATE' ELSE state END AS state FROM fx_cve
+ UNION ALL SELECT 'NEW' || substr(cve_id, 4), title, published, severity, cvss_score, cwe, state FROM fx_cve WHERE severity = 'HIGH'""",
+    ["fx_cve"],
+)
+def stored_upsert(spark, sf_dir):
+    """A stored table in two parts; a late batch replaces rows of one part and brings new ones."""
+    store = TableStore(spark, scratch_folder(spark, "upsert"), buckets=4)
+    cve = fixture(spark, sf_dir, "fx_cve")
+    store.upsert({"cve": (cve.where("severity IS DISTINCT FROM 'LOW'"), F.col("cve_id"))})
+    store.upsert({"cve": (cve.where("severity = 'LOW'"), F.col("cve_id"))})
+    late = cve.where("severity = 'LOW'").withColumns({"title": F.lit(None).cast("string"), "state": F.lit("LATE")})
+    new = cve.where("severity = 'HIGH'").withColumn("cve_id", F.expr("'NEW' || substr(cve_id, 4)"))
+    store.upsert({"cve": (late.unionByName(new), F.col("cve_id"))})
     return store.read("cve")
 
 
@@ -246,6 +264,36 @@ def ingest_counters(spark, sf_dir):
     return R.ingest_counters(R.outcome(parsed(spark, sf_dir)))
 
 
+@query(
+    f"""{S.RECORDS},
+{S.LINKS},
+t AS (SELECT CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'unread' WHEN json_type(v, '$.containers') <> 'OBJECT' THEN 'skipped' WHEN {S.STATE} = 'REJECTED' THEN 'rejected' ELSE 'processed' END AS o
+ FROM (SELECT TRY_CAST(value AS JSON) AS v FROM fx_cve_raw)),
+b AS (SELECT DISTINCT repo_url, commit_hash, max(url) AS url FROM links WHERE state <> 'REJECTED' GROUP BY cve_id, repo_url, commit_hash),
+w AS (SELECT DISTINCT repo_url, commit_hash, url FROM b)
+SELECT count(*) FILTER (WHERE o = 'processed') AS processed, count(*) FILTER (WHERE o = 'rejected') AS rejected, count(*) FILTER (WHERE o = 'skipped') AS skipped, count(*) FILTER (WHERE o = 'unread') AS unread,
+ (SELECT count(*) FROM w WHERE commit_hash < 'c') AS commits, (SELECT CAST(coalesce(sum(CASE WHEN commit_hash < '6' THEN 2 ELSE 1 END), 0) AS BIGINT) FROM w WHERE commit_hash < 'c') AS patches FROM t""",
+    RAW,
+)
+def ingest_run(spark, sf_dir):
+    """A whole run on an empty store, with landed commit data: counters of records, commits and patches."""
+    raw = fixture(spark, sf_dir, "fx_cve_raw")
+    links = staged(L.commit_references(R.drop_rejected(good(spark, sf_dir))).select("repo_url", "commit_sha").distinct(), "linked")
+    fetched = links.where("commit_sha < 'c'").selectExpr(
+        "repo_url", "commit_sha", "commit_sha AS full_sha", "'m' AS message", "'a' AS author", "'2024-01-01' AS commit_date",
+        "CAST(NULL AS STRING) AS error",
+    )
+    files = links.selectExpr(
+        "repo_url", "commit_sha", "explode(CASE WHEN commit_sha < '6' THEN array(1L, 2L, 3L) ELSE array(1L, 3L) END) AS file_ord"
+    ).selectExpr(
+        "*", "CASE WHEN file_ord = 3 THEN 'README.md' ELSE 'src/f' || CAST(file_ord AS STRING) || '.c' END AS old_path",
+        "CAST(NULL AS STRING) AS new_path", "'+a' AS diff", "'x' AS source_before", "'y' AS source_after",
+    )
+    spans = spark.createDataFrame([], schemas.METHOD_SPAN)
+    store = TableStore(spark, scratch_folder(spark, "run"), buckets=4)
+    return ingest_release(store, raw, "v1", ["ord"], landed=Landed(fetched, files, spans))
+
+
 # ---- links ---------------------------------------------------------------------------
 @query(
     f"""{S.RECORDS},

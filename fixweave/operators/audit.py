@@ -27,42 +27,62 @@ FOREIGN = [
 ]
 
 
-def _finding(rows: DataFrame, check: str, table: str, columns: list[str]) -> DataFrame:
-    return rows.select(
-        F.lit(check).alias("check"), F.lit(table).alias("table"), F.lit(",".join(columns)).alias("columns"),
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]).alias("key"),
-        F.col("n").cast("bigint").alias("n"),
+def _all_known(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def _probe(check: str, table: str, columns: list[str], key: list[str], used: int, asked: Column) -> Column:
+    """One probe of a row, NULL where the rule does not ask about it. ``used`` is 0 where the row only proves a key."""
+    return F.when(
+        asked,
+        F.struct(
+            F.lit(check).alias("check"), F.lit(table).alias("table"), F.lit(",".join(columns)).alias("columns"),
+            F.array(*[F.col(c).cast("string") for c in key]).alias("key"), F.lit(used).cast("bigint").alias("used"),
+        ),
     )
 
 
-def _all_known(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+def _probes(table: str, tables: dict[str, DataFrame]) -> list[Column]:
+    """What the rules want to know of a row of ``table``."""
+    out = []
+    if table in NOT_NULL:
+        out.append(_probe("not_null", table, NOT_NULL[table], NOT_NULL[table], 1, ~_all_known(NOT_NULL[table])))
+    for columns in UNIQUE.get(table, []):
+        out.append(_probe("unique", table, columns, columns, 1, _all_known(columns)))
+    for child, columns, parent, parent_columns in FOREIGN:
+        if child in tables and parent in tables:
+            if table == child:
+                out.append(_probe("foreign_key", child, columns, columns, 1, _all_known(columns)))
+            if table == parent:
+                out.append(_probe("foreign_key", child, columns, parent_columns, 0, _all_known(parent_columns)))
+    if table == "functions":
+        out.append(_probe("empty_repo_url", table, ["repo_url"], ["repo_url"], 1, F.col("repo_url") == ""))
+    return out
 
 
 def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations as rows: check, table, columns, key, n; only given tables are checked.
 
-    Every check reduces its table to distinct keys with a map-side count first,
-    so one key with very many rows is cheap.
+    Every table is read once: its rows are turned into one probe per rule, and
+    all probes meet in one aggregation by rule and key. Probes are counted before
+    they are exchanged, so one key with very many rows is cheap, and no table is
+    joined to another.
     """
-    findings: list[DataFrame] = []
-    for table, columns in NOT_NULL.items():
-        if table in tables:
-            missing = tables[table].where(~_all_known(columns))
-            findings.append(_finding(missing.groupBy(*columns).agg(F.count("*").alias("n")), "not_null", table, columns))
-    for table, constraints in UNIQUE.items():
-        for columns in constraints if table in tables else []:
-            repeated = tables[table].where(_all_known(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
-            findings.append(_finding(repeated.where(F.col("n") > 1), "unique", table, columns))
-    for table, columns, parent, parent_columns in FOREIGN:
-        if table in tables and parent in tables:
-            used = tables[table].where(_all_known(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
-            known = tables[parent].select(*[F.col(p).alias(c) for p, c in zip(parent_columns, columns)])
-            findings.append(_finding(used.join(known, columns, "left_anti"), "foreign_key", table, columns))
-    if "functions" in tables:
-        nameless = tables["functions"].where(F.col("repo_url") == "").groupBy("repo_url").agg(F.count("*").alias("n"))
-        findings.append(_finding(nameless, "empty_repo_url", "functions", ["repo_url"]))
-    return reduce(DataFrame.unionByName, findings)
+    asked = [
+        df.select(F.explode(F.filter(F.array(*probes), lambda p: p.isNotNull())).alias("p")).select("p.*")
+        for name, df in tables.items() if (probes := _probes(name, tables))
+    ]
+    rule = ["check", "table", "columns"]
+    found = reduce(DataFrame.unionByName, asked).groupBy(*rule, "key").agg(
+        F.sum("used").alias("n"), F.count_if(F.col("used") == 0).alias("proofs")
+    )
+    broken = (
+        F.when(F.col("check") == "unique", F.col("n") > 1)
+        .when(F.col("check") == "foreign_key", (F.col("n") > 0) & (F.col("proofs") == 0))
+        .otherwise(F.lit(True))
+    )
+    key = F.array_join("key", "|", "<null>")
+    return found.where(broken).select(*rule, key.alias("key"), "n")
 
 
 def cascade_delete(tables: dict[str, DataFrame], table: str, doomed: DataFrame) -> dict[str, DataFrame]:

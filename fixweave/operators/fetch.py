@@ -72,25 +72,30 @@ def sha_exact(fetched: DataFrame) -> DataFrame:
 
 
 def commit_outcome(fetched: DataFrame) -> DataFrame:
-    """Add ``skip_reason`` to landed commits; NULL means the commit is usable."""
-    return fetched.withColumn(
-        "skip_reason",
+    """Add ``skip_reason`` to landed commits; NULL means the commit is usable.
+
+    Rows that went through ``with_access`` fail with their repository.
+    """
+    reason = (
         F.when(F.col("error").isNotNull(), fetch_reason(F.col("error")))
         .when(F.coalesce(F.col("full_sha") == F.col("commit_sha"), F.lit(False)), F.lit(None).cast("string"))
-        .otherwise(NOT_FOUND),
+        .otherwise(NOT_FOUND)
     )
+    if "accessible" in fetched.columns:
+        reason = F.when(F.col("accessible") == F.lit(False), INACCESSIBLE).otherwise(reason)
+    return fetched.withColumn("skip_reason", reason)
+
+
+def enrich_counts() -> dict[str, Column]:
+    """Aggregates over an ``skip_reason`` column: commits found, saved and failed."""
+    failed = F.col("skip_reason").isNotNull()
+    return {"commits_found": F.count("*"), "commits_saved": F.count_if(~failed), "commits_failed": F.count_if(failed)}
 
 
 def enrich_counters(outcomes: DataFrame, patches: DataFrame) -> DataFrame:
     """One row: commits found, saved and failed, and patches saved."""
-    failed = F.col("skip_reason").isNotNull()
     zero = F.lit(0).cast("bigint")
-    commits = outcomes.select(
-        F.lit(1).alias("commits_found"), (~failed).cast("int").alias("commits_saved"),
-        failed.cast("int").alias("commits_failed"), zero.alias("patches_saved"),
-    )
-    saved = patches.select(
-        zero.alias("commits_found"), zero.alias("commits_saved"), zero.alias("commits_failed"), F.lit(1).alias("patches_saved")
-    )
-    counters = commits.unionByName(saved)
-    return counters.agg(*[F.coalesce(F.sum(name), zero).alias(name) for name in counters.columns])
+    found = outcomes.agg(*[column.alias(name) for name, column in enrich_counts().items()])
+    saved = patches.agg(F.count("*").alias("patches_saved"))
+    both = found.withColumn("patches_saved", zero).unionByName(saved.select(*[zero.alias(c) for c in found.columns], "patches_saved"))
+    return both.agg(*[F.sum(name).alias(name) for name in both.columns])

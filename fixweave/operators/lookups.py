@@ -45,6 +45,17 @@ def patches_of_commits(patches: DataFrame, commits: DataFrame) -> DataFrame:
     return patches.join(named, ["repo_url", "commit_sha"])
 
 
+def functions_of_commit(functions: DataFrame, repo_url: str, commit_sha: str) -> DataFrame:
+    """Function pairs of one commit; stored tables are cut into ranges of these columns."""
+    return functions.where((F.col("repo_url") == repo_url) & (F.col("commit_sha") == commit_sha))
+
+
+def functions_of_commits(functions: DataFrame, commits: DataFrame) -> DataFrame:
+    """Function pairs of a table of commits, with the commit's date and author."""
+    named = commits.select("repo_url", F.col("sha").alias("commit_sha"), "commit_date", "author")
+    return functions.join(named, ["repo_url", "commit_sha"])
+
+
 def language_counts(patches: DataFrame) -> DataFrame:
     """Files and changed lines per language."""
     return patches.groupBy("language").agg(

@@ -2,9 +2,10 @@
 
 ``existing`` holds at most one row per key. A batch may hold many; it is first
 reduced to one row per key by a map-side aggregation, so a key that fills a
-third of the batch costs one row per task. The reduced batch is then joined to
-``existing``: when it is small the adaptive planner broadcasts it after having
-measured it, and the stored rows, with their large texts, are never shuffled.
+third of the batch costs one row per task. One full outer join of both then
+reads the stored rows once. Stored tables are bucketed by their key
+(``sources.store``), so only the batch is exchanged and the stored rows, with
+their large texts, stay where they are.
 """
 
 from __future__ import annotations
@@ -32,27 +33,34 @@ def last_values(batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
     )
 
 
+def _matched(existing: DataFrame, newest: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows ``e`` and rows ``n`` of the reduced batch side by side; NULL keys meet none."""
+    on = [F.col(f"e.{key}") == F.col(f"n.{key}") for key in keys]
+    return existing.alias("e").join(newest.withColumn("_new", F.lit(True)).alias("n"), on, "full_outer")
+
+
+def overwritten(existing: DataFrame, newest: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows, replaced or joined by the rows of a batch with one row per key."""
+    return _matched(existing, newest, keys).select(
+        *[F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in existing.columns]
+    )
+
+
+def filled(existing: DataFrame, newest: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows whose columns take the values of a batch with one row per key, where it has any."""
+    return _matched(existing, newest, keys).select(
+        *[F.coalesce(f"n.{c}", f"e.{c}").alias(c) for c in existing.columns]
+    )
+
+
 def merge_overwrite(existing: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last batch row replaces the stored row as a whole, NULLs included."""
-    columns = existing.columns
-    newest = last_rows(batch, keys, order).select(*columns)
-    untouched = existing.join(newest.select(*keys), keys, "left_anti").select(*columns)
-    return untouched.unionByName(newest)
+    return overwritten(existing, last_rows(batch, keys, order), keys)
 
 
 def merge_coalesce(existing: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Column by column the last value that is not NULL wins; stored values fill the holes."""
-    columns = existing.columns
-    newest = last_values(batch, keys, order).select(*columns)
-    values = _columns_but(existing, keys)
-    fresh = newest.select(*keys, *[F.col(name).alias(f"new_{name}") for name in values])
-    updated = existing.join(fresh, keys, "left").select(
-        *keys, *[F.coalesce(f"new_{name}", name).alias(name) for name in values]
-    )
-    # Stored keys that the batch touches: never more rows than the batch has.
-    touched = existing.select(*keys).join(newest.select(*keys), keys, "left_semi")
-    inserted = newest.join(touched, keys, "left_anti")
-    return updated.select(*columns).unionByName(inserted.select(*columns))
+    return filled(existing, last_values(batch, keys, order), keys)
 
 
 def with_row_id(rows: DataFrame, name: str, parts: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixweave.frames import computed
+from fixweave.frames import computed, pruned
 from fixweave.functions.code import (
     block_text, change_reason, clean_block, looks_like_function, valid_method_name,
 )
@@ -68,27 +68,37 @@ def attach_source(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Bring the two file texts to the chosen spans, by file key.
 
     Called once, after all choices on narrow rows are made, so the texts meet
-    one join only.
+    one join only, and only those of files that a span asks for. ``pairs`` is
+    read twice: hand over a stored table.
     """
-    return pairs.join(files.select(*FILE_KEYS, "source_before", "source_after"), FILE_KEYS)
+    texts = pruned(files.select(*FILE_KEYS, "source_before", "source_after"), FILE_KEYS, pairs)
+    return pairs.join(texts, FILE_KEYS)
+
+
+def _chunked(pairs: DataFrame, per_chunk: int) -> DataFrame:
+    """Spans of a file gathered in lists of about ``per_chunk``.
+
+    Files with more spans are found by a map-side count; their spans are dealt
+    out by a hash, so no task sorts or holds a whole file.
+    """
+    wide = pairs.groupBy(*FILE_KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > per_chunk)
+    fields = [name for name in pairs.columns if name not in FILE_KEYS]
+    chunks = F.coalesce(F.ceil(F.col("_n") / per_chunk), F.lit(1))
+    place = pairs.join(wide, FILE_KEYS, "left").withColumn("_chunk", F.pmod(F.xxhash64("ord", *PAIR_LINES), chunks))
+    return place.groupBy(*FILE_KEYS, "_chunk").agg(F.collect_list(F.struct(*fields)).alias("_spans"))
 
 
 def cut_blocks(pairs: DataFrame, files: DataFrame, per_chunk: int = SPANS_PER_CHUNK) -> DataFrame:
-    """Add ``vuln_text`` and ``patch_text``, the raw lines of both spans, and
-    ``has_before`` and ``has_after``, whether the file has these texts.
+    """Add ``vuln_text`` and ``patch_text``, the raw lines of both spans,
+    ``has_before`` and ``has_after``, whether the file has these texts, and
+    ``readable``, whether they are valid UTF-8.
 
     A file with many functions is not copied and split once per function: the
-    spans of a file meet its text in chunks of at most ``per_chunk``, and each
-    chunk cuts all of its blocks from one split. All steps up to the cut share
-    the partitioning by file.
+    spans of a file meet its text in chunks, and each chunk cuts all of its
+    blocks from one split.
     """
     fields = [name for name in pairs.columns if name not in FILE_KEYS]
-    position = F.row_number().over(Window.partitionBy(*FILE_KEYS).orderBy("ord", *PAIR_LINES)) - 1
-    chunks = (
-        pairs.withColumn("_chunk", F.floor(position / per_chunk))
-        .groupBy(*FILE_KEYS, "_chunk")
-        .agg(F.collect_list(F.struct(*fields)).alias("_spans"))
-    )
+    chunks = staged(_chunked(pairs, per_chunk), "chunks")
     split = computed(
         attach_source(chunks, files),
         {"_before": raw_lines(F.col("source_before")), "_after": raw_lines(F.col("source_after"))},
@@ -105,6 +115,7 @@ def cut_blocks(pairs: DataFrame, files: DataFrame, per_chunk: int = SPANS_PER_CH
         *FILE_KEYS,
         _has_text("source_before").alias("has_before"),
         _has_text("source_after").alias("has_after"),
+        F.coalesce(F.is_valid_utf8("source_before") & F.is_valid_utf8("source_after"), F.lit(True)).alias("readable"),
         F.inline(F.transform("_spans", cut)),
     )
 
@@ -144,12 +155,11 @@ def drop_bulk_refactor(pairs: DataFrame, keys: list[str] = COMMIT_KEYS, threshol
     return kept.where(F.col("_bulk").isNull()).select(*pairs.columns)
 
 
-def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM) -> DataFrame:
-    """Vulnerable and patched versions of changed functions, strict rules.
+def pair_blocks(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM) -> DataFrame:
+    """Cleaned blocks of the changed functions before and after, strict rules.
 
     ``files`` and ``spans`` follow the FILE_CHANGE and METHOD_SPAN schemas. The
-    changed methods and the cut blocks are stored in between, since both are
-    read twice.
+    changed methods are stored in between, since they are read twice.
     """
     old, new = F.col("old_path"), F.col("new_path")
     # Paths only: the file texts are read once, when all spans are chosen.
@@ -170,8 +180,18 @@ def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FRO
         F.col("after_start").alias("patched_start_line"), F.col("after_end").alias("patched_end_line"),
     )
     blocks = cut_blocks(_spans_by_file(chosen), files).where("has_before AND has_after").drop("has_before", "has_after")
-    code = whole_functions(_first_files(staged(clean_blocks(blocks), "blocks")))
-    return drop_bulk_refactor(code)
+    return clean_blocks(blocks)
+
+
+def functions_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Function pairs of a stored table of blocks; unreadable files have none."""
+    readable = blocks.where("readable").drop("readable")
+    return drop_bulk_refactor(whole_functions(_first_files(readable)))
+
+
+def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM) -> DataFrame:
+    """Vulnerable and patched versions of changed functions, strict rules."""
+    return functions_of_blocks(staged(pair_blocks(files, spans, wide_from), "blocks"))
 
 
 def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -219,7 +239,7 @@ def pair_functions_lax(files: DataFrame, spans: DataFrame) -> DataFrame:
     def plain(text: str) -> Column:
         return F.when(not_blank(F.col(text)), F.col(text))
 
-    blocks = cut_blocks(_spans_by_file(chosen), files).where("has_before").drop("has_before", "has_after")
+    blocks = cut_blocks(_spans_by_file(chosen), files).where("has_before").drop("has_before", "has_after", "readable")
     cut = _first_files(staged(blocks, "blocks")).withColumns(
         {
             "vuln_function": plain("vuln_text"),

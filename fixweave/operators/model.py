@@ -31,8 +31,12 @@ def train_forest(
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add ``prediction`` to feature rows."""
-    return model.transform(rows).drop("features", "rawPrediction", "probability")
+    """Add ``prediction`` to feature rows.
+
+    A fitted forest holds its training summary, and that the session, which
+    tasks cannot take along once counts were observed in it. A copy holds none.
+    """
+    return model.copy().transform(rows).drop("features", "rawPrediction", "probability")
 
 
 def accuracy(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -16,12 +16,12 @@ def drop_skipped_files(files: DataFrame) -> DataFrame:
     return files.where(~skip_file(first_path(old, new))).where(~skip_file(first_path(new, old)))
 
 
-def file_change_rows(files: DataFrame) -> DataFrame:
-    """Chosen path (new before old) and diff text, for files kept at extraction."""
+def file_change_rows(files: DataFrame, *carry: str) -> DataFrame:
+    """Chosen path (new before old) and diff text, for files kept at extraction; ``carry`` names columns to keep."""
     old, new = F.col("old_path"), F.col("new_path")
     change_type = F.col("change_type") if "change_type" in files.columns else F.lit(None).cast("string")
     return files.where(~skip_file(first_path(old, new))).select(
-        "repo_url", "commit_sha", "file_ord",
+        "repo_url", "commit_sha", "file_ord", *carry,
         first_path(new, old).alias("file_path"),
         F.coalesce(change_type, F.lit("unknown")).alias("change_type"),
         F.coalesce("diff", F.lit("")).alias("diff"),
@@ -67,12 +67,12 @@ def patch_text(files: DataFrame, diff: str = "diff") -> DataFrame:
     )
 
 
-def build_patches(files: DataFrame) -> DataFrame:
+def build_patches(files: DataFrame, *carry: str) -> DataFrame:
     """Patch rows: both path filters, language, counts and changed lines."""
-    kept = file_change_rows(files).where(~skip_file(F.col("file_path")))
+    kept = file_change_rows(files, *carry).where(~skip_file(F.col("file_path")))
     tagged = kept.withColumn("language", detect_language(F.col("file_path")))
     return patch_text(patch_stats(tagged)).select(
-        "repo_url", "commit_sha", "file_ord", "file_path", "language",
+        "repo_url", "commit_sha", "file_ord", *carry, "file_path", "language",
         "added_lines", "removed_lines", "changed_lines", "hunk_count",
         "diff_text", "before_code", "after_code",
     )

@@ -279,11 +279,14 @@ def outcome(parsed: DataFrame) -> DataFrame:
     )
 
 
+OUTCOMES = ["processed", "rejected", "skipped", "unread"]
+
+
+def outcome_counts() -> dict[str, Column]:
+    """Aggregates over an ``outcome`` column, one per outcome."""
+    return {name: F.count_if(F.col("outcome") == name) for name in OUTCOMES}
+
+
 def ingest_counters(tagged: DataFrame) -> DataFrame:
     """One row of run counters from an ``outcome`` column, in one pass."""
-    return tagged.agg(
-        *[
-            F.count_if(F.col("outcome") == name).alias(name)
-            for name in ("processed", "rejected", "skipped", "unread")
-        ]
-    )
+    return tagged.agg(*[column.alias(name) for name, column in outcome_counts().items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,30 @@ KEYS = {
     "sync_state": ["source_name"],
 }
 
+
+@dataclass(frozen=True)
+class Layout:
+    """How a stored table lies in its folders.
+
+    Rows of ``year_of``, an ISO text, lie in a folder per year. Tables that are
+    ``merged`` are bucketed by their key, others are cut into key ranges of the
+    ``sort`` columns, by which the rows of every file are ordered.
+    """
+
+    sort: tuple[str, ...]
+    year_of: str | None = None
+    merged: bool = True
+
+
+LAYOUTS = {
+    "cve": Layout(("severity", "published"), year_of="published"),
+    "cve_commit": Layout(("cve_id",)),
+    "commits": Layout(("commit_date",), year_of="commit_date"),
+    "patch": Layout(("repo_url", "commit_sha", "file_path")),
+    "functions": Layout(("repo_url", "commit_sha", "file_path"), merged=False),
+    "sync_state": Layout(("source_name",)),
+}
+
 # ---- landed inputs -------------------------------------------------------
 COMMIT_RAW = _table(
     "repo_url string, commit_sha string, full_sha string, message string, author string, commit_date string, "

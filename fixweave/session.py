@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,19 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_with_counts(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As ``staged``, and aggregates of the rows that are taken along by the job that writes them."""
+    seen = Observation()
+    stored = staged(df.observe(seen, *[column.alias(name) for name, column in counts.items()]), label)
+    return stored, {name: seen.get.get(name) or 0 for name in counts}
+
+
+def staged_buckets(df: DataFrame, label: str, keys: list[str], buckets: int = 8) -> DataFrame:
+    """As ``staged``, with the rows bucketed by ``keys``, so that joins on them leave the stored rows in place."""
+    path = scratch_folder(df.sparkSession, label)
+    name = "fixweave_" + path.rsplit("-", 1)[-1][:24]
+    rows = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    rows.format("parquet").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -214,7 +214,7 @@ def test_ingest_is_gated_limited_and_repeatable(spark):
         "ord int, value string",
     )
     counters = ingest_release(store, raw, "v1", ["ord"])
-    assert counters.first().asDict() == {"processed": 3, "rejected": 1, "skipped": 0, "unread": 1}
+    assert counters.first().asDict() == {"processed": 3, "rejected": 1, "skipped": 0, "unread": 1, "commits": 0, "patches": 0}
     first = rows(store.read("cve"), "cve_id", "title")
     assert first == [("CVE-2024-0002", "newer"), ("CVE-2024-0003", "t")]
     assert ingest_release(store, raw, "v1", ["ord"]) is None
@@ -226,7 +226,7 @@ def test_ingest_is_gated_limited_and_repeatable(spark):
     limited = TableStore(spark, scratch_folder(spark, "test-store"))
     counters = ingest_release(limited, raw, "v1", ["ord"], limit=1)
     # Reading stopped at the first accepted record, after one rejected.
-    assert counters.first().asDict() == {"processed": 1, "rejected": 1, "skipped": 0, "unread": 0}
+    assert counters.first().asDict() == {"processed": 1, "rejected": 1, "skipped": 0, "unread": 0, "commits": 0, "patches": 0}
     assert rows(limited.read("cve"), "cve_id", "title") == [("CVE-2024-0002", "t")]
     assert limited.read("sync_state").count() == 1
 
