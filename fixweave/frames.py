@@ -29,11 +29,11 @@ def pruned(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
 
     Rows that a join on ``keys`` would drop are left out before its shuffle, so
     wide rows move only where they are needed. The keys are held as a bitmap of
-    hashed slots; its size follows their number up to a fixed bound, so it may
+    hashed slots; its size follows the number of rows up to a fixed bound, so it may
     always be broadcast. Beyond the bound it prunes less. A few rows pass that no
     key asks for: the join still has to follow. Rows with a NULL key are left out.
     """
-    n = wanted.select(*keys).distinct().count()
+    n = wanted.count()
     bits = min(_MOST_BITS, max(_LEAST_BITS, (n * _SLOTS_PER_KEY).bit_length()))
     slot = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
     word, bit = F.shiftright(slot, 6), (slot % 64).cast("int")

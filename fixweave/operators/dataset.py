@@ -69,7 +69,7 @@ def _cut(histogram: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
 
 
 # Hex digits of the digest by which rows are counted, at each of two levels.
-_DIGITS = 4
+_DIGITS = 3
 
 
 def split_thresholds(
@@ -79,7 +79,7 @@ def split_thresholds(
 
     Two scans of ``label`` and ``key``: the first counts rows per head of the
     digest, the second keeps the rows of the one head in which a label's share
-    ends. These, a 65536th of the label, are counted by the next digits, and the
+    ends. These, a 4096th of the label, are counted by the next digits, and the
     threshold is picked among the few rows that agree in these as well.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
@@ -93,12 +93,12 @@ def split_thresholds(
         bucket = F.substring("_at.digest", 1 + place * _DIGITS, _DIGITS)
         return df.withColumn("_bucket", bucket).join(cut, [label, "_bucket"]).drop("_bucket")
 
-    coarse = staged(histogram(hashed, 0), "split-coarse")
+    coarse = histogram(hashed, 0)
     quotas = _label_quotas(coarse.groupBy(label).agg(F.sum("_n").alias("n")), label, test_share)
     # One row per label: a table of known, small size, so its joins need no exchange of rows.
     cut = staged(_cut(coarse, quotas.where("take > 0"), label), "split-cut")
     rest = staged(inside(hashed, cut, 0), "split-rest")
-    finer = staged(_cut(histogram(rest.drop("take"), 1), cut.select(label, "take"), label), "split-finer")
+    finer = _cut(histogram(rest.drop("take"), 1), cut.select(label, "take"), label)
     few = inside(rest.drop("take"), finer, 1)
     ordered = few.groupBy(label).agg(F.max("take").alias("take"), F.sort_array(F.collect_list("_at")).alias("at"))
     return staged(ordered.select(label, F.get("at", (F.col("take") - 1).cast("int")).alias("_last")), "split-thresholds")

@@ -13,7 +13,7 @@ from fixweave.functions.paths import first_path, skip_file
 from fixweave.functions.pytext import not_blank, raw_lines, strip
 from fixweave.functions.urls import detect_platform
 from fixweave.operators.pairing import (
-    FILE_KEYS, WIDE_FROM, distinct_spans, pair_after, pair_before, pair_match, valid_pairs,
+    FILE_KEYS, WIDE_FROM, distinct_spans, pair_match, pair_sides, valid_pairs,
 )
 from fixweave.session import staged
 
@@ -129,11 +129,16 @@ def clean_blocks(blocks: DataFrame) -> DataFrame:
     return computed(blocks, cleaned).drop("vuln_text", "patch_text")
 
 
+def _is_whole() -> Column:
+    return (
+        F.col("vuln_function").isNotNull() & F.col("patch_function").isNotNull()
+        & looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function"))
+    )
+
+
 def whole_functions(pairs: DataFrame) -> DataFrame:
     """Both sides present, and neither opens like a control-flow block."""
-    return complete_pairs(pairs).where(
-        looks_like_function(F.col("vuln_function")) & looks_like_function(F.col("patch_function"))
-    )
+    return pairs.where(_is_whole())
 
 
 def complete_pairs(pairs: DataFrame) -> DataFrame:
@@ -141,6 +146,20 @@ def complete_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("vuln_function").isNotNull() & F.col("patch_function").isNotNull())
 
 
+def _equal_length() -> Column:
+    return F.coalesce(F.length("vuln_function") == F.length("patch_function"), F.lit(False))
+
+
+def _bulk(tagged: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Commits with more than ``threshold`` pairs of equal length."""
+    return tagged.where("equal_length").groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > threshold)
+
+
+def _drop_bulk(tagged: DataFrame, bulk: DataFrame, keys: list[str]) -> DataFrame:
+    marks = bulk.select(*keys, F.lit(True).alias("_bulk"), F.lit(True).alias("equal_length"))
+    return tagged.join(marks, [*keys, "equal_length"], "left").where(F.col("_bulk").isNull()).select(*tagged.columns)
+
+
 def drop_bulk_refactor(pairs: DataFrame, keys: list[str] = COMMIT_KEYS, threshold: int = BULK_THRESHOLD) -> DataFrame:
     """In commits with more than ``threshold`` equal-length pairs, drop these pairs.
 
@@ -148,11 +167,8 @@ def drop_bulk_refactor(pairs: DataFrame, keys: list[str] = COMMIT_KEYS, threshol
     single huge commit is never gathered in one task. ``pairs`` is read twice:
     hand over a stored table when it is costly to make.
     """
-    equal_length = F.coalesce(F.length("vuln_function") == F.length("patch_function"), F.lit(False))
-    tagged = pairs.withColumn("_equal", equal_length)
-    bulk = tagged.where("_equal").groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > threshold)
-    kept = tagged.join(bulk.select(*keys, F.lit(True).alias("_bulk"), F.lit(True).alias("_equal")), [*keys, "_equal"], "left")
-    return kept.where(F.col("_bulk").isNull()).select(*pairs.columns)
+    tagged = pairs.withColumn("equal_length", _equal_length())
+    return _drop_bulk(tagged, _bulk(tagged, keys, threshold), keys).select(*pairs.columns)
 
 
 def pair_blocks(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM) -> DataFrame:
@@ -169,24 +185,31 @@ def pair_blocks(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM)
     named = spans.where(valid_method_name(F.col("name")))
     # Equal changed spans lead to equal pairs, of which only the first is kept.
     changed = staged(distinct_spans(_side(named, "changed"), FILE_KEYS).join(usable, FILE_KEYS), "changed")
-    # The two searches are independent; chained, the second would repeat the first.
-    before = pair_before(changed, _side(named, "before"), wide_from=wide_from)
-    after = pair_after(changed, _side(named, "after"), wide_from=wide_from)
-    place = [*FILE_KEYS, "ord"]
-    paired = before.join(after.select(*place, "after_ord", "after_start", "after_end"), place)
+    paired = pair_sides(changed, named.select(*FILE_KEYS, "side", "ord", "name", "start_line", "end_line"), wide_from=wide_from)
     chosen = valid_pairs(pair_match(paired)).select(
         *FILE_KEYS, "ord", "file_path", strip(F.col("name")).alias("method_name"),
         F.col("before_start").alias("vuln_start_line"), F.col("before_end").alias("vuln_end_line"),
         F.col("after_start").alias("patched_start_line"), F.col("after_end").alias("patched_end_line"),
     )
+    chosen = staged(chosen, "chosen")
     blocks = cut_blocks(_spans_by_file(chosen), files).where("has_before AND has_after").drop("has_before", "has_after")
-    return clean_blocks(blocks)
+    cleaned = clean_blocks(blocks)
+    return cleaned.withColumns({"whole": _is_whole(), "equal_length": _equal_length()})
 
 
 def functions_of_blocks(blocks: DataFrame) -> DataFrame:
-    """Function pairs of a stored table of blocks; unreadable files have none."""
-    readable = blocks.where("readable").drop("readable")
-    return drop_bulk_refactor(whole_functions(_first_files(readable)))
+    """Function pairs of a stored table of blocks; unreadable files have none.
+
+    What is needed of the texts was noted with the blocks, so the bulk edits are
+    found on narrow rows.
+    """
+    def usable(columns: list[str]) -> DataFrame:
+        first = _first_files(blocks.where("readable").select(*columns))
+        return first.where("whole")
+
+    narrow = usable([*SPAN_KEYS, "file_ord", "ord", "shared", "whole", "equal_length"])
+    kept = _drop_bulk(usable(blocks.columns), _bulk(narrow, COMMIT_KEYS, BULK_THRESHOLD), COMMIT_KEYS)
+    return kept.drop("readable", "whole", "equal_length")
 
 
 def pair_functions(files: DataFrame, spans: DataFrame, wide_from: int = WIDE_FROM) -> DataFrame:
