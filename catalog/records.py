@@ -222,13 +222,11 @@ def validate_cve(spark, sf_dir):
     RAW,
 )
 def nested_get(spark, sf_dir):
-    raw, value = fixture(spark, sf_dir, "fx_cve_raw"), F.col("value")
-    return raw.select(
-        "ord",
-        R.nested_get(value, "$.cveMetadata.cveId", "unknown").alias("cve_id"),
-        R.nested_get(value, "$.containers.cna.descriptions[1].value", "none").alias("second_text"),
-        R.nested_get(value, "$.containers.cna.metrics[0].cvssV3_1.baseScore", data_type="double").alias("base_score"),
-    )
+    paths = {
+        "cve_id": ("$.cveMetadata.cveId", "unknown"), "second_text": ("$.containers.cna.descriptions[1].value", "none"),
+        "base_score": ("$.containers.cna.metrics[0].cvssV3_1.baseScore", None, "double"),
+    }
+    return R.nested_values(fixture(spark, sf_dir, "fx_cve_raw"), paths).select("ord", *paths)
 
 
 _FLAT = f"""{S.RECORDS},

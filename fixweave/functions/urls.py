@@ -27,7 +27,7 @@ _PARAM_SCHEMES = [
 _SCHEME = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?"
 _NETLOC = r"(?://([^/?#]*))?"
 
-# An owner may start anywhere in the text; a hash longer than 40 digits is cut.
+# ---- fixed value: pattern of a commit link. An owner may start anywhere in the text; a hash longer than 40 digits is cut.
 _COMMIT_LINK = (
     rf"(?iU)https?://(github\.com|gitlab\.com|bitbucket\.org)/([^/{SPACE_CHARS}]+)/([^/{SPACE_CHARS}]+)"
     r"(?:/-)?/(?:commit|commits)/([0-9a-fA-F]{7,40})"
@@ -49,10 +49,23 @@ def url_path(url: Column) -> Column:
     ).otherwise(path)
 
 
+def _is_ipv6(host: Column) -> Column:
+    """Whether a text is an IPv6 address; a zone may follow, and the last two groups may be an IPv4 address."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    plain = F.regexp_replace(F.regexp_replace(host, r"%[^%]+\z", ""), rf":{octet}(?:\.{octet}){{3}}\z", ":0:0")
+    groups = r"[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})"
+    shortened = plain.rlike(rf"\A(?:{groups}{{0,6}})?::(?:{groups}{{0,6}})?\z")
+    told = F.size(F.filter(F.split(plain, ":"), lambda part: part != ""))
+    return plain.rlike(rf"\A{groups}{{7}}\z") | (shortened & (told <= 7))
+
+
 def url_is_malformed(url: Column) -> Column:
-    """True when the host part has an unpaired square bracket."""
-    host = F.regexp_extract(_plain(url), _SCHEME + _NETLOC, 2)
-    return host.contains("[") != host.contains("]")
+    """True when the host part has square brackets that do not pair, or that hold no address."""
+    netloc = F.regexp_extract(_plain(url), _SCHEME + _NETLOC, 2)
+    inside = F.regexp_extract(netloc, r"\[([^\]]*)", 1)
+    address = _is_ipv6(inside) | inside.rlike(r"(?s)\Av[0-9a-fA-F]+\..+\z")
+    paired = netloc.contains("[") & netloc.contains("]")
+    return (netloc.contains("[") != netloc.contains("]")) | (paired & ~address)
 
 
 def reference_kind(url: Column) -> Column:

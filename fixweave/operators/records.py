@@ -35,20 +35,29 @@ _FLOAT = r"(?iU)\A\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*
 
 
 # ---- parsing ----------------------------------------------------------------
-def parse_status(value: Column, record: Column) -> Column:
-    """ok / bad_encoding / not_json / not_object / bad_structure.
+def _framed(value: Column) -> Column:
+    """Strict parse of a text as the one element of an array.
 
-    ``bad_structure`` is a JSON object in which a field that the record's row is
-    made of has the wrong type. The costly second look at the text is taken only
-    for rows that failed to parse.
+    A parser stops at the end of the first value, so text after a record would go
+    unseen. Inside the frame it is a second element, an error, or it keeps the end
+    mark from being read.
     """
-    text = F.trim(F.translate(value, "\t\r\n", "   "))
-    is_object = text.startswith("{") & text.endswith("}")
-    # Text after the first value parses as JSON all the same; as an array it is not one element.
-    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))), F.lit(0)) == 1
+    return F.from_json(_in_frame(value), schemas.FRAMED, _JSON_OPTIONS)
+
+
+def _in_frame(value: Column) -> Column:
+    return F.concat(F.lit(schemas.FRAME_HEAD), value, F.lit(schemas.FRAME_TAIL))
+
+
+def _failed_status(value: Column, record: Column) -> Column:
+    """Status of a text that the strict parse refused, by a second look at it."""
+    is_object = _is_object(value)
+    # Text after the first value parses as JSON all the same; as an array it is not one element, or ends the frame.
+    ended = F.from_json(_in_frame(value), "fixweave_end boolean")["fixweave_end"]
+    alone = (F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1) & ended
+    alone = F.coalesce(alone, F.lit(False))
     return (
-        F.when(~F.is_valid_utf8(value), "bad_encoding")
-        .when(is_object & ~alone, "not_json")
+        F.when(is_object & ~alone, "not_json")
         .when(is_object & record[schemas.CORRUPT].isNull(), "ok")
         .when(F.try_parse_json(value).isNull(), "not_json")
         .when(is_object, "bad_structure")
@@ -56,6 +65,11 @@ def parse_status(value: Column, record: Column) -> Column:
     )
 
 
+def _is_object(value: Column) -> Column:
+    text = F.trim(F.translate(value, "\t\r\n", "   "))
+    return text.startswith("{") & text.endswith("}")
+
+
 def _reread(value: Column) -> Column:
     """The record of a text with a field of the wrong type, if that field is not part of its row.
 
@@ -82,12 +96,26 @@ def _reread(value: Column) -> Column:
 
 
 def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``record`` (the nested struct) and ``status`` to rows of record text."""
-    strict = computed(raw, {"_strict": F.from_json(F.col(value), schemas.RECORD, _JSON_OPTIONS)})
-    failed = F.col(f"_strict.{schemas.CORRUPT}").isNotNull()
-    record = F.when(failed, _reread(F.col(value))).otherwise(F.col("_strict"))
-    parsed = computed(strict, {"record": record}).drop("_strict")
-    return parsed.withColumn("status", parse_status(F.col(value), F.col("record")))
+    """Add ``record`` (the nested struct) and ``status`` to rows of record text.
+
+    Status is ok / bad_encoding / not_json / not_object / bad_structure;
+    ``bad_structure`` is a JSON object in which a field that the record's row is
+    made of has the wrong type. A good record is parsed once. Only texts that
+    the strict parse refuses are looked at again.
+    """
+    text = F.col(value)
+    strict = computed(raw, {"_framed": _framed(text)})
+    framed = F.col("_framed")
+    whole = (
+        framed[schemas.CORRUPT].isNull() & F.coalesce(framed["fixweave_end"], F.lit(False))
+        & (F.size(framed["records"]) == 1) & F.get(framed["records"], 0).isNotNull() & _is_object(text)
+    )
+    first = F.get(framed["records"], 0)
+    plain = F.struct(*[first[f.name].alias(f.name) for f in schemas.RECORD.fields if f.name != schemas.CORRUPT], F.lit(None).cast("string").alias(schemas.CORRUPT))
+    good = F.coalesce(whole, F.lit(False))
+    parsed = computed(strict.withColumn("_good", good), {"record": F.when(F.col("_good"), plain).otherwise(_reread(text))})
+    status = F.when(~F.is_valid_utf8(text), "bad_encoding").when(F.col("_good"), "ok")
+    return parsed.withColumn("status", status.otherwise(_failed_status(text, F.col("record")))).drop("_framed", "_good")
 
 
 def good_records(parsed: DataFrame) -> DataFrame:
@@ -225,13 +253,24 @@ def validate(value: Column, record: Column) -> Column:
     return F.struct((reason == VALID).alias("valid"), reason.alias("reason"))
 
 
+def variant_value(document: Column, path: str, default: str | None = None, data_type: str = "string") -> Column:
+    """Value at a path of a parsed document; ``default`` when a step is missing, NULL when it is JSON null."""
+    def typed(found: Column) -> Column:
+        value = F.coalesce(F.try_variant_get(found, "$", data_type), F.lit(default).cast(data_type))
+        return F.when(F.coalesce(F.is_variant_null(found), F.lit(False)), F.lit(None).cast(data_type)).otherwise(value)
+
+    return F.get(F.transform(F.array(F.try_variant_get(document, path, "variant")), typed), 0)
+
+
 def nested_get(value: Column, path: str, default: str | None = None, data_type: str = "string") -> Column:
-    """Value at a JSON path; ``default`` when a step is missing, NULL when it is JSON null."""
-    found = F.try_variant_get(F.try_parse_json(value), path, "variant")
-    typed = F.try_variant_get(F.try_parse_json(value), path, data_type)
-    return F.when(F.coalesce(F.is_variant_null(found), F.lit(False)), F.lit(None).cast(data_type)).otherwise(
-        F.coalesce(typed, F.lit(default).cast(data_type))
-    )
+    """Value at a JSON path of a text; for several paths use ``nested_values``, which parses once."""
+    return variant_value(F.try_parse_json(value), path, default, data_type)
+
+
+def nested_values(raw: DataFrame, paths: dict[str, tuple], value: str = "value") -> DataFrame:
+    """Add a column per entry (path, default, type) of ``paths``; each text is parsed once for all of them."""
+    parsed = computed(raw, {"_document": F.try_parse_json(F.col(value))})
+    return parsed.select(*raw.columns, *[variant_value(F.col("_document"), *rule).alias(name) for name, rule in paths.items()])
 
 
 # ---- tables -------------------------------------------------------------------

@@ -129,6 +129,15 @@ RECORD = _struct(
 )
 
 
+# A record text as the only element of an array, and a mark that must still follow it.
+FRAME_HEAD, FRAME_TAIL = '{"records":[', '],"fixweave_end":true}'
+FRAMED = _struct(
+    records=T.ArrayType(T.StructType([f for f in RECORD.fields if f.name != CORRUPT])),
+    fixweave_end=T.BooleanType(),
+    _corrupt_record=_STRING,
+)
+
+
 def _loose() -> T.StructType:
     """The record with its product and reference lists as JSON text, whatever their type is."""
     kinds = {"affected": _STRING, "references": _STRING}

@@ -202,3 +202,48 @@ def test_rejected_limit_and_counters(parse):
     assert records.ingest_counters(records.outcome(df)).first().asDict() == {
         "processed": 3, "rejected": 1, "skipped": 1, "unread": 1,
     }
+
+
+def test_one_parse_per_record(spark):
+    from fixweave.operators import records as R
+    from fixweave.session import staged
+
+    raw = staged(spark.createDataFrame([(1, '{"a": {"b": 1}, "c": null}'), (2, "no json")], "i int, value string"), "raw")
+    paths = {"b": ("$.a.b", "0", "int"), "c": ("$.c", "x"), "d": ("$.d", "none")}
+    found = R.nested_values(raw, paths)
+    assert sorted(tuple(r)[2:] for r in found.collect()) == [(0, "x", "none"), (1, None, "none")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+    plan = R.parse_records(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(records") == 1
+
+
+def test_text_that_closes_the_frame_is_refused(spark):
+    from fixweave.operators.records import parse_records
+
+    values = ['{"a":1}]}', '{"a":1}', ' {"containers":null}\n', '[{"a":1}]', "{}", '{"a":1},', '{"a":1}]']
+    assert len(values) == 7
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value string")
+    found = [r["status"] for r in parse_records(df).orderBy("i").collect()]
+    assert found[:6] == ["not_json", "ok", "ok", "not_object", "ok", "not_object"] and found[6] != "ok"
+
+
+def test_bracketed_hosts_follow_the_url_parser(evaluate):
+    import random
+    from urllib.parse import urlsplit
+
+    from fixweave.functions.urls import url_is_malformed
+
+    def refused(url):
+        try:
+            urlsplit(url)
+        except ValueError:
+            return True
+        return False
+
+    rng = random.Random(4)
+    hosts = ["::1", "1:2:3:4:5:6:7:8", "1::8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "::", ":::", "1::2::3", "12345::", "g::", "::1.2.3.4",
+             "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::256.1.1.1", "::01.2.3.4", "1.2.3.4", "example.org", "v1.x", "v.x", "vz.x", "V1.x", "fe80::1%eth0", "fe80::1%", "fe80::1%a%b", "", "1:2", "::ffff:1.2.3"]
+    urls = [f"https://{a}{o}{h}{c}{b}/x" for h in hosts for a, o, c, b in
+            [("", "[", "]", ""), ("", "[", "]", ":80"), ("", "[", "]", "x"), ("u@", "[", "]", ""), ("a", "[", "]", ""), ("[u]@", "", "", ""), ("", "[", "", ""), ("", "]", "[", "")]]
+    urls += ["https://[" + ":".join(rng.choice(["", "1", "ab", "ffff"]) for _ in range(rng.randint(1, 9))) + "]/" for _ in range(300)]
+    assert evaluate(url_is_malformed, urls) == [refused(u) for u in urls]
