@@ -94,23 +94,28 @@ SELECT l_orderkey AS file_ord, side, CAST(rn AS BIGINT) AS ord, 'fn' || CAST(l_p
 FROM (SELECT *, @SIDES@ AS side FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) l) s"""
 
 # Code pairs: blank-only, comment-only, equal-length and real changes, NULLs, repeats.
+# Every document's whole text stands inside its functions.
 FIXTURES["fx_function_pair"] = """
 SELECT doc_id - doc_id % 40 AS commit_id, 'src/f' || CAST(doc_id % 6 AS STRING) || '.c' AS file_path, 'fn' || CAST(doc_id % 4 AS STRING) AS method_name, doc_id AS ord,
  CASE WHEN doc_id % 23 = 0 THEN CAST(NULL AS BIGINT) ELSE doc_id % 5 + 1 END AS vuln_start_line, doc_id % 5 + 4 AS vuln_end_line, doc_id % 5 + 1 AS patched_start_line, doc_id % 5 + 5 AS patched_end_line,
- CASE WHEN doc_id % 31 = 0 THEN CAST(NULL AS STRING) ELSE 'int f' || CAST(doc_id AS STRING) || '(char *p) {' || chr(10) || '  // ' || source || chr(10) || '  return p.length;' || chr(10) || '}' END AS vuln_function,
- CASE doc_id % 5 WHEN 0 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p)  {' || chr(10) || '// ' || source || chr(10) || chr(9) || 'return p.length; }' || chr(10)
-  WHEN 1 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p) { /* a' || chr(10) || 'b */' || chr(10) || '  return p.length; # ' || lang || chr(10) || '}'
-  WHEN 2 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p) {' || chr(10) || '  // ' || source || chr(10) || '  return q.length;' || chr(10) || '}'
-  WHEN 3 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p) {' || chr(10) || '  if (p == null) throw e;' || chr(10) || '  try { re.exec(p); } catch (x) {}' || chr(10) || '  return len(p);' || chr(10) || '}'
+ CASE WHEN doc_id % 31 = 0 THEN CAST(NULL AS STRING) ELSE 'int f' || CAST(doc_id AS STRING) || '(char *p) {' || chr(10) || '  // ' || source || chr(10) || text || chr(10) || '  return p.length;' || chr(10) || '}' END AS vuln_function,
+ CASE doc_id % 5 WHEN 0 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p)  {' || chr(10) || '// ' || source || chr(10) || text || chr(10) || chr(9) || 'return p.length; }' || chr(10)
+  WHEN 1 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p) { /* a' || chr(10) || 'b */' || chr(10) || text || chr(10) || '  return p.length; # ' || lang || chr(10) || '}'
+  WHEN 2 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p) {' || chr(10) || '  // ' || source || chr(10) || text || chr(10) || '  return q.length;' || chr(10) || '}'
+  WHEN 3 THEN 'int f' || CAST(doc_id AS STRING) || '(char *p) {' || chr(10) || '  if (p == null) throw e;' || chr(10) || '  try { re.exec(p); } catch (x) {}' || chr(10) || text || chr(10) || '  return len(p);' || chr(10) || '}'
   ELSE CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 31 = 0 THEN CAST(NULL AS STRING) ELSE '  ' END ELSE text END END AS patch_function
 FROM documents"""
 
-# Source texts with line ranges (0 and past the end included), and blocks that
-# open with left-over lines.
+# Lines of a text, as far as line feeds tell.
+_LINES = "(length(text) - length(replace(text, chr(10), '')) + 1)"
+
+# Source texts with line ranges all over them (0 and past the end included), and
+# blocks that open with left-over lines.
 FIXTURES["fx_code_block"] = """
-SELECT doc_id, text AS source, doc_id % 7 AS start_line, doc_id % 7 + doc_id % 4 - CASE WHEN doc_id % 29 = 1 THEN 5 ELSE 0 END AS end_line,
+SELECT doc_id, text AS source, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 + doc_id * 31 % @LINES@ END AS start_line,
+ CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 + doc_id * 31 % @LINES@ END + doc_id * 17 % @LINES@ - CASE WHEN doc_id % 29 = 1 THEN 5 ELSE 0 END AS end_line,
  CASE doc_id % 8 WHEN 0 THEN '}' || chr(10) || '  };' || chr(10) WHEN 1 THEN '%%%%' || chr(10) || chr(10) WHEN 2 THEN '#endif // X' || chr(10) WHEN 3 THEN ' */ ' || chr(10) WHEN 4 THEN chr(10) || '}' || chr(10) WHEN 5 THEN '} else if (x) {' || chr(10) WHEN 6 THEN '}' ELSE '' END || CASE WHEN doc_id % 8 = 6 THEN '' ELSE text END AS block
-FROM documents"""
+FROM documents""".replace("@LINES@", _LINES)
 
 # Files with both versions of their text, several files per commit.
 FIXTURES["fx_source_file"] = """
@@ -119,7 +124,7 @@ SELECT 'https://github.com/o/r' || CAST((doc_id - doc_id % 40) % 9 AS STRING) AS
  CASE doc_id % 11 WHEN 0 THEN 'docs/f.c' WHEN 1 THEN CAST(NULL AS STRING) WHEN 2 THEN 'src/same.c' ELSE 'src/f' || CAST(doc_id % 40 AS STRING) || '.c' END AS old_path,
  CASE doc_id % 11 WHEN 1 THEN 'src/new.py' WHEN 3 THEN 'src/moved.c' ELSE CAST(NULL AS STRING) END AS new_path,
  CAST(NULL AS STRING) AS change_type,
- '@@ -1,4 +1,4 @@' || chr(10) || '-' || source || chr(10) || '+' || lang || chr(10) || ' ctx' AS diff,
+ '@@ -1,4 +1,4 @@' || chr(10) || '-' || source || chr(10) || '+' || replace(text, chr(10), chr(10) || CASE doc_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END) || chr(10) || ' ctx' AS diff,
  CASE WHEN doc_id % 53 = 5 THEN '' ELSE 'int alpha(char *p) {' || chr(10) || '  // ' || source || chr(10) || '  return p.length;' || chr(10) || '}' || chr(10)
   || 'int beta(int q) {' || chr(10) || '  use("' || CAST(doc_id AS STRING) || '");' || chr(10) || '}' || chr(10) || '} else {' || chr(10) || text END AS source_before,
  CASE WHEN doc_id % 59 = 7 THEN CAST(NULL AS STRING) ELSE '#include <x>' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'int alpha(char *p) {' || chr(10) || '  // ' || lang || ' only' || chr(10) || '  return p.length;' || chr(10) || '}'
@@ -129,11 +134,14 @@ SELECT 'https://github.com/o/r' || CAST((doc_id - doc_id % 40) % 9 AS STRING) AS
   || 'int beta(int q) {' || chr(10) || '  use("' || CAST(doc_id AS STRING) || '");' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '  check(q);' || chr(10) ELSE '' END || '}' || chr(10) || text END AS source_after
 FROM documents"""
 
-FIXTURES["fx_source_span"] = """
+# The function "deep" lies anywhere in the text and has up to 40 lines.
+_DEEP = "CASE WHEN name = 'deep' THEN doc_id * 13 % n_lines ELSE 0 END"
+FIXTURES["fx_source_span"] = f"""
 SELECT 'https://github.com/o/r' || CAST((doc_id - doc_id % 40) % 9 AS STRING) AS repo_url,
  md5(CAST(doc_id - doc_id % 40 AS STRING)) || substr(md5('s' || CAST(doc_id - doc_id % 40 AS STRING)), 1, 8) AS commit_sha, doc_id % 40 AS file_ord,
- side, ord, name, start_line + CASE WHEN side = 'after' AND name = 'beta' THEN doc_id % 3 - 1 WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END AS start_line, end_line + CASE WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END AS end_line
-FROM (SELECT *, s.side AS side, s.ord AS ord, s.name AS name, s.first AS start_line, s.last AS end_line FROM (SELECT doc_id, @SPANS@ AS s FROM documents) d) x"""
+ side, ord, name, start_line + CASE WHEN side = 'after' AND name = 'beta' THEN doc_id % 3 - 1 WHEN name = 'far' AND side = 'before' THEN doc_id % 30 ELSE 0 END + {_DEEP} AS start_line,
+ end_line + CASE WHEN name = 'far' AND side = 'before' THEN doc_id % 30 WHEN name = 'deep' THEN doc_id % 40 ELSE 0 END + {_DEEP} AS end_line
+FROM (SELECT *, s.side AS side, s.ord AS ord, s.name AS name, s.first AS start_line, s.last AS end_line FROM (SELECT doc_id, {_LINES} AS n_lines, @SPANS@ AS s FROM documents) d) x"""
 
 # Landed fetch results for linked commits: usable, not found, closed, failed.
 FIXTURES["fx_commit_raw"] = f"""
@@ -157,6 +165,7 @@ FROM events"""
 _SOURCE_SPANS = [
     ("changed", 1, "alpha", 2, 5), ("changed", 2, "beta", 6, 9), ("changed", 3, "(anonymous)", 1, 2), ("changed", 4, "alpha", 2, 5),
     ("changed", 5, "far", 10, 12), ("changed", 6, "gone", 1, 4), ("changed", 7, "blocky", 8, 9), ("changed", 8, "alpha", 3, 3),
+    ("changed", 9, "deep", 12, 14), ("before", 9, "deep", 11, 13), ("after", 7, "deep", 12, 14),
     ("before", 1, "alpha", 1, 4), ("before", 2, "beta", 4, 7), ("before", 3, "beta", 5, 7), ("before", 4, "(anonymous)", 1, 2),
     ("before", 5, "far", 9, 11), ("before", 6, "alpha", None, 4), ("before", 7, "blocky", 8, 9), ("before", 8, "gone", 0, 4),
     ("after", 1, "alpha", 2, 5), ("after", 2, "beta", 6, 8), ("after", 3, "far", 10, 12), ("after", 4, "(anonymous)", 1, 2),

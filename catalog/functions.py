@@ -401,8 +401,9 @@ _AGAIN = "commit_sha < 'a'"
 
 
 @query(
-    f"""k AS (SELECT repo_url, commit_sha, {S.choose('old_path', 'new_path')} AS a, {S.choose('new_path', 'old_path')} AS b FROM fx_source_file)
-SELECT DISTINCT repo_url, commit_sha, b AS file_path, {_EXT.format(p='b')} AS language, CASE WHEN {_AGAIN} THEN 2 ELSE 1 END AS added_lines, 1 AS removed_lines FROM k WHERE NOT {S.skip('a')} AND NOT {S.skip('b')}""",
+    f"""k AS (SELECT repo_url, commit_sha, file_ord, {S.lines('diff')} AS ls, {S.choose('old_path', 'new_path')} AS a, {S.choose('new_path', 'old_path')} AS b FROM fx_source_file)
+SELECT repo_url, commit_sha, b AS file_path, {_EXT.format(p='b')} AS language, CAST(len(list_filter(ls, lambda x: x LIKE '+%' AND x NOT LIKE '+++%')) + CASE WHEN {_AGAIN} THEN 1 ELSE 0 END AS INTEGER) AS added_lines,
+ CAST(len(list_filter(ls, lambda x: x LIKE '-%' AND x NOT LIKE '---%')) AS INTEGER) AS removed_lines FROM k WHERE NOT {S.skip('a')} AND NOT {S.skip('b')} QUALIFY row_number() OVER (PARTITION BY repo_url, commit_sha, b ORDER BY file_ord DESC) = 1""",
     ["fx_source_file"],
 )
 def enrich_stored_patches(spark, sf_dir):
