@@ -21,6 +21,7 @@ from fixweave.operators import records as R
 from fixweave.plans.enrich import Landed
 from fixweave.plans.ingest import ingest_release, open_fixes
 from fixweave.session import scratch_folder, staged
+from fixweave.sources import landing
 from fixweave.sources import records as scans
 from fixweave.sources.store import TableStore, sync_decision, upsert_sync_state
 
@@ -45,9 +46,33 @@ def good(spark, sf_dir):
 _ACCEPTED = "lower(replace(entry, chr(92), '/')) LIKE 'cves/%.json' AND starts_with(regexp_extract(replace(entry, chr(92), '/'), '[^/]*$'), 'CVE-')"
 
 
-@query(f"SELECT ord, entry, value FROM fx_cve_raw WHERE {_ACCEPTED}", RAW)
+def _one_file_each(root: str):
+    """Writes every record text to a file of its own, named by its entry, from the tasks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        local = root.startswith(("/", "file:"))
+        system, base = (fs.LocalFileSystem(), root.removeprefix("file:")) if local else fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for entry, value in zip(batch["entry"], batch["value"]):
+                path = f"{base}/{entry}"
+                system.create_dir(path.rsplit("/", 1)[0])
+                with system.open_output_stream(path) as out:
+                    out.write(value.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return run
+
+
+@query(f"SELECT entry, value FROM fx_cve_raw WHERE {_ACCEPTED}", RAW)
 def scan_cve_json(spark, sf_dir):
-    return scans.scan_entries(fixture(spark, sf_dir, "fx_cve_raw"))
+    """Every record as a file of its own; the folder is landed as line files in two runs, and these are scanned."""
+    raw, root, target = fixture(spark, sf_dir, "fx_cve_raw"), scratch_folder(spark, "records"), scratch_folder(spark, "landed")
+    for half in (0, 1):
+        rows = raw.where(F.col("ord") % 2 == half).select("entry", "value")
+        rows.mapInPandas(_one_file_each(root), "n long").agg(F.sum("n")).collect()
+        landing.land_records(spark, root, target)
+    return landing.scan_landed(spark, target).select("entry", "value")
 
 
 def _zip(members: list[tuple[str, bytes]]) -> bytes:

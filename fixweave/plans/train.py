@@ -33,7 +33,7 @@ def train(pairs: DataFrame, key: list[str], **forest) -> TrainingRun:
     """Split, fit and evaluate. Features are computed once and stored without the code."""
     rows = staged(training_rows(pairs, *key).drop("code"), "features")
     split = staged(stratified_split(rows, "label", [*key, "label"]), "split")
-    model = train_forest(split.where("NOT is_test"), **forest)
+    model = train_forest(split.where("NOT is_test"), key=[*key, "label"], **forest)
     predicted = predict(model, split.where("is_test"))
     return TrainingRun(
         model, predicted, dataset_summary(rows), accuracy(predicted), classification_report(predicted),

@@ -254,3 +254,43 @@ def test_a_run_counts_commits_and_patches(spark, store):
     found = ingest_release(store, raw, "v1", ["ord"], landed=landed).first().asDict()
     assert found == {"processed": 5, "rejected": 0, "skipped": 0, "unread": 0, "commits": 4, "patches": 8}
     assert store.read("patch").count() == 8 and store.read("sync_state").count() == 1
+
+
+# ---- landing -----------------------------------------------------------------------------
+def test_landing_goes_on_where_it_stopped(spark, tmp_path):
+    from fixweave.sources import landing
+
+    root, target = tmp_path / "records", str(tmp_path / "landed")
+    names = [f"cves/2024/{n}xxx/CVE-2024-{n}.json" for n in range(9)]
+    names += ["CVES/a b+c/CVE-2024-[1]*{a}%25.JSON", "cves/delta.json", "other/CVE-2024-1.json", "cves/CVE-2024-9.txt"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text('{\n "name": "' + name + '"\n}\n')
+    (root / "cves/CVE-2024-77.json").write_bytes(b'{"a": "\xff"}')
+    wanted = sorted(names[:10] + ["cves/CVE-2024-77.json"])
+
+    # A run that dies after two slices of four.
+    written, plain = [], type(spark.range(1).write).json
+
+    def dying(writer, path, *args, **kw):
+        if len(written) == 2:
+            raise RuntimeError("lost")
+        written.append(path)
+        return plain(writer, path, *args, **kw)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1).write), "json", dying)
+        with pytest.raises(RuntimeError, match="lost"):
+            landing.land_records(spark, str(root), target, slice_files=3)
+    before = landing.scan_landed(spark, target).count()
+    assert 0 < before < len(wanted)
+    assert landing.land_records(spark, str(root), target, slice_files=3) == len(wanted) - before
+    assert [r[0] for r in rows(landing.scan_landed(spark, target), "entry")] == wanted
+    assert landing.land_records(spark, str(root), target) == 0
+    texts = dict(rows(landing.scan_landed(spark, target).selectExpr("entry", "hex(value) AS value"), "entry", "value"))
+    assert all(bytes.fromhex(texts[name]) == (root / name).read_bytes() for name in wanted)
+    (root / names[0]).write_text("changed since")
+    os.utime(root / names[0], (2_000_000_000, 2_000_000_000))
+    assert landing.land_records(spark, str(root), target) == 1
+    newest = landing.scan_landed(spark, target).where(F.col("entry") == names[0]).orderBy(F.desc("modified")).first()
+    assert newest["value"] == "changed since"
