@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -29,14 +30,11 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*[part.column(name).to_pylist() for name in names])
 
 
-class Shared:
-    """A broadcast object whose class travels with it, so executors need no copy of this package.
+class Held:
+    """A broadcast object as tasks see it; a worker process unpacks it once for all its tasks."""
 
-    A worker process unpacks it once for all its tasks.
-    """
-
-    def __init__(self, spark: SparkSession, value):
-        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    def __init__(self, held):
+        self.held = held
 
     @property
     def value(self):
@@ -47,6 +45,36 @@ class Shared:
         return self.held.unpacked
 
 
+class Shared(Held):
+    """A broadcast object whose class travels with it, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        super().__init__(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+        if _SCOPES:
+            _SCOPES[-1].append(self)
+
+    def __reduce__(self):
+        return Held, (self.held,)
+
+    def close(self) -> None:
+        """Give the object back, on the driver and on all executors; what needs it must be stored by then."""
+        self.held.destroy()
+
+
+_SCOPES: list[list[Shared]] = []
+
+
+@contextmanager
+def given_back():
+    """Closes what is shared inside, at the end; results that need it have to be stored inside as well."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for shared in _SCOPES.pop():
+            shared.close()
+
+
 class Output:
     """Collects rows and turns them into batches of the given Spark schema."""
 

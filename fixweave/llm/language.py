@@ -6,10 +6,13 @@ score of a language is its log prior plus one vote per word: a known word votes
 with its own log frequencies, an unseen one with the mean of its longest n-grams
 that are known, falling back from five characters to one.
 
-The model is fitted on a bounded sample of labelled rows (``sample`` documents on average,
-the same share of it for each of the ``LANGUAGES`` most frequent labels), counted
-by Spark; its size is bounded by ``FEATURES`` words and ``FEATURES`` n-grams, so the
-broadcast does not grow with the data. Prediction reads whole texts.
+Votes are kept sparse: what a language without the feature gets is the same for all
+features, so a vote names only the languages that have it.
+
+The model is fitted on a bounded sample of labelled rows, counted by Spark: ``sample``
+documents on average, shared out evenly to all labels, and ``PER_LABEL`` of each at least.
+Every label is learnt, and each keeps its own most frequent words and n-grams, so the
+broadcast grows with the labels but not with the rows. Prediction reads whole texts.
 
 A null text or one without a letter is ``und`` with score 0; so is every text when
 there was nothing to learn from. Ties go to the smaller language code. Labels that
@@ -18,17 +21,20 @@ are null teach nothing. Rows that repeat an id are predicted one by one.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixweave.llm.arrow import Output, Shared, map_rows, rows
+from fixweave.llm.arrow import Output, Shared, rows
 
-# Documents to fit on, most labels told apart, entries of each table, longest n-gram.
-SAMPLE, LANGUAGES, FEATURES, LONGEST = 3_000, 200, 100_000, 5
+# Documents to fit on, entries of each table, longest n-gram; documents and entries that every label gets.
+SAMPLE, FEATURES, LONGEST, PER_LABEL, LEAST_FEATURES = 3_000, 100_000, 5, 100, 2_000
+# Votes of words that a task remembers.
+REMEMBERED = 50_000
 # Words of a text that count as independent evidence when the score is made.
 EVIDENCE = 20
 UNDETERMINED = "und"
@@ -50,45 +56,59 @@ def held_out(id_col: str, remainder: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == remainder, F.lit(True))
 
 
+Vote = tuple[tuple[int, float], ...]
+
+
 class LanguageModel:
     def __init__(self, priors: dict[str, int], words: list[tuple], grams_: list[tuple]):
         """``words`` and ``grams_`` are (language, feature, count)."""
         self.languages = sorted(priors)
         self.prior = np.log(np.array([priors[x] for x in self.languages], float) / max(1, sum(priors.values())))
-        self.words, _ = self._table(words)
-        self.grams, self.unknown = self._table(grams_)
-        self.seen: dict[str, np.ndarray] = {}
+        # What a word of either table gives to languages that lack it, and what more to the others.
+        self.word_base, self.words = self._table(words)
+        self.gram_base, self.grams = self._table(grams_)
 
-    def _table(self, counted: list[tuple]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def _table(self, counted: list[tuple]) -> tuple[np.ndarray, dict[str, Vote]]:
         column = {x: i for i, x in enumerate(self.languages)}
-        counts: dict[str, np.ndarray] = {}
+        total, votes = np.zeros(len(column)), {}
         for language, feature, count in counted:
-            counts.setdefault(feature, np.zeros(len(column)))[column[language]] += count
-        total = sum(counts.values(), np.zeros(len(column))) + 0.5 * (len(counts) + 1)
-        return {f: np.log((c + 0.5) / total) for f, c in counts.items()}, np.log(0.5 / total)
+            total[column[language]] += count
+            votes.setdefault(feature, []).append((column[language], math.log((count + 0.5) / 0.5)))
+        return np.log(0.5 / (total + 0.5 * (len(votes) + 1))), {f: tuple(v) for f, v in votes.items()}
 
-    def vote(self, word: str) -> np.ndarray:
+    def vote(self, word: str) -> tuple[bool, Vote]:
+        """Whether the word is known, and its votes beyond the base of its table."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return True, known
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
             found = [v for v in map(self.grams.get, grams(word, size)) if v is not None]
             if found:
-                return sum(found) / len(found)
-        return self.unknown
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+                total: dict[int, float] = {}
+                for entries in found:
+                    for language, weight in entries:
+                        total[language] = total.get(language, 0.0) + weight
+                return False, tuple((language, weight / len(found)) for language, weight in total.items())
+        return False, ()
+
+    def predict(self, text: str | None, seen: dict[str, tuple[bool, Vote]]) -> tuple[str, float]:
+        """Language and score; ``seen`` remembers the votes of words between texts."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         words = words_of(text)
-        seen, total = self.seen, np.zeros(len(self.languages))
+        more, n_known = [0.0] * len(self.languages), 0
         for word, times in Counter(words).items():
-            vote = seen.get(word)
-            if vote is None:
-                if len(seen) >= 150_000:
+            found = seen.get(word)
+            if found is None:
+                if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen[word] = vote = self.vote(word)
-            total += vote * times
+                seen[word] = found = self.vote(word)
+            known, entries = found
+            if known:
+                n_known += times
+            for language, weight in entries:
+                more[language] += weight * times
+        total = np.array(more) + n_known * self.word_base + (len(words) - n_known) * self.gram_base
         logs = self.prior + total * (min(EVIDENCE, len(words)) / max(1, len(words)))
         best = int(np.argmax(self.prior + total))
         return self.languages[best], float(1 / np.exp(logs - logs[best]).sum())
@@ -130,20 +150,22 @@ def fit(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: st
         learn.alias("learn"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
         (F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"),
     ).where("learn and lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel({}, [], [])
-    share = sample / len(counts)
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])
-    chosen = labelled.where(F.col("draw") < F.element_at(rate, F.col("lang"))).select("lang", "text")
+    share = max(sample / len(counts), PER_LABEL)
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, rate double")
+    # One row per label.
+    chosen = labelled.join(F.broadcast(rates), "lang").where("draw < rate").select("lang", "text")
     features = chosen.mapInArrow(_features, "lang string, gram boolean, feature string, count long")
     features = features.groupBy("lang", "gram", "feature").agg(F.sum("count").alias("count"))
-    tables = []
-    for gram in (False, True):
-        least = features.where(F.col("gram") == gram).where("count > 1" if not gram else "count > 2")
-        top = least.orderBy(F.desc("count"), "feature", "lang").limit(FEATURES)
-        tables.append([tuple(r) for r in top.select("lang", "feature", "count").collect()])
-    return LanguageModel({r["lang"]: r["count"] for r in counts}, *tables)
+    ranked = Window.partitionBy("lang", "gram").orderBy(F.desc("count"), "feature")
+    kept = max(LEAST_FEATURES, FEATURES // len(counts))
+    top = features.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= kept)
+    tables: dict[bool, list] = {False: [], True: []}
+    for language, gram, feature, count in top.select("lang", "gram", "feature", "count").collect():
+        tables[gram].append((language, feature, count))
+    return LanguageModel({r["lang"]: r["count"] for r in counts}, sorted(tables[False]), sorted(tables[True]))
 
 
 def identify(
@@ -155,7 +177,12 @@ def identify(
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString().replace('bigint', 'long')}" for c in keep)
 
-    def one(doc_id, text, *kept):
-        return (doc_id, *model.value.predict(text), *kept)
+    schema = "doc_id long, lang_pred string, score double" + (f", {kinds}" if keep else "")
+
+    def run(batches):
+        out, predict, seen = Output(schema), model.value.predict, {}
+        for doc_id, text, *kept in rows(batches, "doc_id", "text", *keep):
+            yield from out.add(doc_id, *predict(text, seen), *kept)
+        yield from out.flush()
 
-    return map_rows(narrow, ["doc_id", "text", *keep], one, "doc_id long, lang_pred string, score double" + (f", {kinds}" if keep else ""))
+    return narrow.mapInArrow(run, schema)

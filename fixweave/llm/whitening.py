@@ -109,7 +109,7 @@ def _gram(fit: DataFrame, width: int, centred: Centred, size: int) -> np.ndarray
     out = np.zeros((size, size))
     for cell, value in fit.mapInArrow(run, _CELL).groupBy("cell").agg(F.sum("value").alias("value")).collect():
         out[cell // size, cell % size] = out[cell % size, cell // size] = value
-    held.held.destroy()
+    held.close()
     return out
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fixweave.llm import chat, licenses, lm_scoring, pii, wordpiece
+from fixweave.llm import chat, language, licenses, pii, wordpiece
 from fixweave.llm.decontaminate import benchmark_hits
 from fixweave.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
 from fixweave.llm.language import identify
@@ -181,6 +181,48 @@ def test_language_accuracy_and_undetermined(spark):
     assert identify(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_every_label_is_learnt(spark):
+    """230 labels, of which one holds most rows, with a word of its own each."""
+    own = ["q" + "".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(230)]
+    rows = [(i, f"common {own[i % 230]} {own[i % 230]} {own[i % 230]}", f"l{i % 230:03d}") for i in range(690)]
+    rows += [(10_000 + i, "plain words here", "big") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in identify(df, F.col("doc_id") % 3 != 0).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+
+
+def test_sparse_votes_equal_dense_ones():
+    rng = random.Random(12)
+    features = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    words = {(rng.choice("xyz"), rng.choice(features)): rng.randint(1, 9) for _ in range(50)}
+    some = {(rng.choice("xyz"), g): rng.randint(1, 9) for w in features[:30] for g in language.grams(w, rng.randint(1, 3))}
+    priors = {"x": 5, "y": 3, "z": 2}
+    model = language.LanguageModel(priors, [(*k, n) for k, n in words.items()], [(*k, n) for k, n in some.items()])
+
+    def dense(table, feature):
+        names = {f for _, f in table}
+        total = {a: sum(n for (b, _), n in table.items() if b == a) + 0.5 * (len(names) + 1) for a in "xyz"}
+        return np.array([math.log((table.get((a, feature), 0) + 0.5) / total[a]) for a in "xyz"])
+
+    def vote(word):
+        if any(w == word for _, w in words):
+            return dense(words, word)
+        for size in range(min(5, len(word) + 2), 0, -1):
+            held = [g for g in language.grams(word, size) if any(f == g for _, f in some)]
+            if held:
+                return np.mean([dense(some, g) for g in held], 0)
+        return dense(some, None)
+
+    for _ in range(60):
+        text = [rng.choice(features + ["zzz", "cabbage"]) for _ in range(rng.randint(1, 30))]
+        total = sum(vote(w) for w in text)
+        logs = np.log(np.array([0.5, 0.3, 0.2]))
+        found, score = model.predict(" ".join(text), {})
+        assert found == "xyz"[int(np.argmax(logs + total))]
+        scaled = logs + total * min(20, len(text)) / len(text)
+        assert score == pytest.approx(1 / np.exp(scaled - scaled["xyz".index(found)]).sum())
+
+
 EMAILS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
@@ -326,32 +368,10 @@ def test_templates_fold_and_refuse():
         list(chat.compile_template("{{ x.__class__ }}")({"x": "text"}))
 
 
-def test_code_tree_and_windows():
-    counts = np.array([5, 1, 0, 9, 2, 2.0])
-    model = lm_scoring.Attention(lm_scoring.CodeTree(counts), 5)
-    h = np.zeros((6, lm_scoring.OUT), np.float32)
-    assert abs(np.exp(model.logs(h, np.arange(6))).sum() - 1) < 1e-5
-    for length in (1, 15, 16, 17, 70):
-        inputs, targets = lm_scoring.windows(np.arange(length, dtype=np.int32))
-        flat = targets.ravel()
-        assert flat[flat >= 0].tolist() == list(range(length))
-        lead = lm_scoring.WINDOW - lm_scoring.STRIDE
-        valid = targets >= 0
-        assert (inputs[:, lead:][valid] == targets[valid] - 1).all()
-
-
-def test_scoring_learns_from_all_rows(spark, monkeypatch):
-    counted = []
-    tree = lm_scoring.CodeTree
-    monkeypatch.setattr(lm_scoring, "CodeTree", lambda counts: counted.append(counts) or tree(counts))
-    monkeypatch.setattr(lm_scoring, "PART", 12_000)
-    kinds = ("red blue red blue", "up down up down")
-    # More rows than were once sampled, one long text, and a kind of text for each half of the partitions.
-    rows = [(i, kinds[i >= 1_000]) for i in range(2_000)] + [(2_000, "up down " * 3_000), (2_001, None)]
-    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
-    scorer = lm_scoring.train(df.withColumn("text", F.col("text").cast("binary")), RANKS)
-    subwords = lm_scoring.Subwords(RANKS)
-    assert counted[0].sum() == sum(len(subwords((text or "").encode().split())) for _, text in rows)
-    assert counted[0][subwords.end] == len(rows)
-    seen, mixed = scorer.scores([[b"red", b"blue"] * 20, [b"up", b"down"] * 20]), scorer.scores([[b"red", b"down"] * 20, [b"up", b"blue"] * 20])
-    assert min(seen) > max(mixed) + 5
+@pytest.mark.parametrize("source", [
+    "{% endgeneration %}", "a{% endif %}", "{% endfor %}", "{% if 'a' %}1{% else %}2{% else %}3{% endif %}", "{{ 'a' == 'b' }}", "{{ not 'a' }}",
+    "{{ 'a' == 'b' or 'c' }}", "{% generation %}x", "{% if 'a' %}{% endgeneration %}{% endif %}",
+])
+def test_templates_that_cannot_be_read(source):
+    with pytest.raises(chat.TemplateError):
+        chat.parse(source)
