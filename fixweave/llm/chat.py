@@ -162,6 +162,13 @@ class _Expression:
         return node
 
 
+def _is_truth(node: tuple) -> bool:
+    """Whether an expression may come to true or false instead of a text."""
+    if node[0] in ("and", "or"):
+        return any(map(_is_truth, node[1:]))
+    return node[0] in ("==", "!=", "not")
+
+
 def parse(source: str) -> tuple:
     """Syntax tree of a template."""
     root: list = []
@@ -179,7 +186,10 @@ def parse(source: str) -> tuple:
         at = tag.end()
         body = open_[-1][2]
         if tag[1] is not None:
-            body.append(_Expression(tag[1]).whole())
+            shown = _Expression(tag[1]).whole()
+            if _is_truth(shown):
+                raise TemplateError(f"no text to show: {tag[1].strip()!r}")
+            body.append(shown)
             continue
         word, _, rest = tag[2].strip().partition(" ")
         if word == "for":
@@ -191,6 +201,8 @@ def parse(source: str) -> tuple:
             open_.append(("if", (_Expression(rest).whole(),), []))
         elif word == "else":
             _, head, then = close("if")
+            if len(head) == 2:
+                raise TemplateError("a second else")
             open_.append(("if", (*head, then), []))
         elif word == "endif":
             _, head, last = close("if")
@@ -202,7 +214,8 @@ def parse(source: str) -> tuple:
         elif word == "generation":
             open_.append(("generation", (), []))
         elif word == "endgeneration":
-            open_[-2][2].append(("generation", ("all", close("generation")[2])))
+            inside = close("generation")[2]
+            open_[-1][2].append(("generation", ("all", inside)))
         else:
             raise TemplateError(f"no such statement: {word!r}")
     if len(open_) > 1:
