@@ -46,19 +46,29 @@ def good(spark, sf_dir):
 _ACCEPTED = "lower(replace(entry, chr(92), '/')) LIKE 'cves/%.json' AND starts_with(regexp_extract(replace(entry, chr(92), '/'), '[^/]*$'), 'CVE-')"
 
 
+def _writer(root: str):
+    """Writes a file below a shared folder, from a task."""
+    from pyarrow import fs
+
+    local = root.startswith(("/", "file:"))
+    system, base = (fs.LocalFileSystem(), root.removeprefix("file:")) if local else fs.FileSystem.from_uri(root)
+
+    def write(name: str, content: bytes) -> None:
+        path = f"{base}/{name}"
+        system.create_dir(path.rsplit("/", 1)[0])
+        with system.open_output_stream(path) as out:
+            out.write(content)
+
+    return write
+
+
 def _one_file_each(root: str):
-    """Writes every record text to a file of its own, named by its entry, from the tasks."""
+    """Writes every record text to a file of its own, named by its entry."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        local = root.startswith(("/", "file:"))
-        system, base = (fs.LocalFileSystem(), root.removeprefix("file:")) if local else fs.FileSystem.from_uri(root)
+        write = _writer(root)
         for batch in batches:
             for entry, value in zip(batch["entry"], batch["value"]):
-                path = f"{base}/{entry}"
-                system.create_dir(path.rsplit("/", 1)[0])
-                with system.open_output_stream(path) as out:
-                    out.write(value.encode())
+                write(entry, value.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
     return run
@@ -83,22 +93,34 @@ def _zip(members: list[tuple[str, bytes]]) -> bytes:
     return buffer.getvalue()
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Archives of 100 entries each; every other one is nested in an outer archive."""
-    for batch in batches:
-        for number, start in enumerate(range(0, len(batch), 100)):
-            part = batch.iloc[start:start + 100].drop_duplicates("entry", keep="first")
-            content = _zip([(e, v.encode()) for e, v in zip(part["entry"], part["value"])])
-            if number % 2:
-                content = _zip([("inner.ZIP", content), ("deeper.zip", _zip([("x.zip", _zip([("cves/CVE-0.json", b"{}")]))]))])
-            yield pd.DataFrame({"path": [f"a{part['ord'].iloc[0]}.zip"], "content": [content]})
+def _archives(root: str):
+    """Writes archives of 100 entries each; every other one is nested in an outer archive."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        write = _writer(root)
+        for batch in batches:
+            for number, start in enumerate(range(0, len(batch), 100)):
+                part = batch.iloc[start:start + 100]
+                content = _zip([(e, v.encode()) for e, v in zip(part["entry"], part["value"])])
+                if number % 2:
+                    content = _zip([("inner.ZIP", content), ("deeper.zip", _zip([("x.zip", _zip([("cves/CVE-0.json", b"{}")]))]))])
+                write(f"a{part['ord'].iloc[0]}.zip", content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return run
+
+
+_ARCHIVED: dict[tuple[str, str], str] = {}
 
 
 @query(f"SELECT replace(entry, chr(92), '/') AS entry, value FROM fx_cve_raw WHERE {_ACCEPTED}", RAW)
 def scan_cve_archives(spark, sf_dir):
-    raw = fixture(spark, sf_dir, "fx_cve_raw")
-    archives = raw.mapInPandas(_pack, "path string, content binary")
-    return scans.expand_archives(archives).select("entry", "value")
+    """The archives are written once per application, like all landed inputs."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ARCHIVED:
+        _ARCHIVED[key] = scratch_folder(spark, "archives")
+        raw = fixture(spark, sf_dir, "fx_cve_raw").select("ord", "entry", "value")
+        raw.mapInPandas(_archives(_ARCHIVED[key]), "n long").agg(F.sum("n")).collect()
+    return scans.scan_cve_archives(spark, _ARCHIVED[key]).select("entry", "value")
 
 
 @query(
