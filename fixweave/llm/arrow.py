@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of a batch that are turned into Python objects at a time.
-SLICE = 500
+SLICE = 100
+# Rows and bytes of a batch where memory is short.
+FEW_ROWS, FEW_BYTES = 1_000, 8 << 20
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
@@ -28,6 +31,11 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         for start in range(0, batch.num_rows, SLICE):
             part = batch.slice(start, SLICE)
             yield from zip(*[part.column(name).to_pylist() for name in names])
+    # A worker process lives on for other tasks; what this one has freed goes back to the machine.
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Held:
@@ -64,6 +72,23 @@ class Shared(Held):
 _SCOPES: list[list[Shared]] = []
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches between Spark and its Python workers stay small inside; jobs have to be run inside as well."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": FEW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": FEW_BYTES}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 @contextmanager
 def given_back():
     """Closes what is shared inside, at the end; results that need it have to be stored inside as well."""

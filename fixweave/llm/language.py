@@ -126,7 +126,7 @@ def _features(batches):
     words = Counter()
     for language, text in rows(batches, "lang", "text"):
         words.update((language, word) for word in words_of(text))
-        if len(words) > 200_000:
+        if len(words) > 20_000:
             _add_grams(words, counted)
             yield from flush()
     _add_grams(words, counted)
