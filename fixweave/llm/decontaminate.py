@@ -7,8 +7,9 @@ words and blocks that no pattern has jump almost a whole window. Where the jump
 zero, the block's bucket gives the patterns that end in it, told apart by their
 first block, and a direct comparison confirms the occurrence.
 
-The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text, so a
-benchmark of any size is searched in as many narrow passes over the documents.
+The benchmark reaches the tasks in blocks of about ``BLOCK_BYTES`` of text, one at a
+time: what a pass found is stored with the texts, and its block is given back before the
+next one is read. A benchmark of any size is searched in as many passes.
 
 Null or wordless documents have no words and no hits; null or wordless items have
 no patterns; items that repeat a text all count; an item with a null id hits words
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixweave.llm.arrow import Output, Shared, rows, texts
+from fixweave.session import staged
 
 WINDOW = 10
 # Bytes of benchmark text that are turned into one broadcast table.
@@ -73,9 +75,9 @@ class WuManber:
 class Passages:
     """Searches a text for the passages of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        self.items: dict[tuple, set[int]] = defaultdict(set)
+        self.items: dict[tuple, set[str]] = defaultdict(set)
         self.tables: dict[int, WuManber] = {}
         for item_id, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers)) for w in letters_and_digits(text)]
@@ -91,7 +93,7 @@ class Passages:
             table.buckets = {tail: dict(heads) for tail, heads in table.buckets.items()}
         self.items = dict(self.items)
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges that are hit, and the items hit."""
         get = self.numbers.get
         numbers = [get(w, -1) for w in words]
@@ -103,7 +105,7 @@ class Passages:
         return ranges, items
 
 
-_FOUND = "doc_id long, n_words long, starts array<long>, ends array<long>, item_ids array<long>"
+_FOUND = "doc_id long, n_words long, starts array<long>, ends array<long>, item_ids array<string>"
 _CARRIED = _FOUND + ", text binary"
 
 
@@ -138,16 +140,16 @@ def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``n_words``, hit word ranges ``starts``/``ends`` and ``item_ids`` found."""
+    """Per row: ``doc_id``, ``n_words``, hit word ranges ``starts``/``ends`` and ``item_ids`` found, as texts."""
     spark = docs.sparkSession
-    items = texts(benchmark, item_col, item_text_col).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     none = F.array().cast("array<long>")
-    df = texts(docs, id_col, text_col, starts=none, ends=none, item_ids=none)
+    df = texts(docs, id_col, text_col, starts=none, ends=none, item_ids=F.array().cast("array<string>"))
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == block).collect()
-        passages = Shared(spark, Passages([(r["doc_id"], bytes(r["text"])) for r in part], window))
-        schema = _FOUND if block == blocks - 1 else _CARRIED
-        df = df.mapInArrow(_pass(passages, schema), schema)
-    return df
-
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
+        passages = Shared(spark, Passages([(r["id"], bytes(r["text"])) for r in part], window))
+        if block == blocks - 1:
+            return df.mapInArrow(_pass(passages, _FOUND), _FOUND)
+        df = staged(df.mapInArrow(_pass(passages, _CARRIED), _CARRIED), "searched")
+        passages.close()
