@@ -21,8 +21,10 @@ Shingles that only one class has leave at the first step. The order table is the
 one broadcast, of at most ``ORDERED`` entries; any table gives the same links.
 
 Results for odd input: a null or wordless text has no shingles and links with
-nothing; a text of fewer words than a shingle is one shingle; rows that repeat an
-id are one node and keep one row each; a null id gets the class's smallest id.
+nothing; a text of fewer words than a shingle is one shingle. Every row is a document of
+its own, whatever its id: rows that share an id but not their shingles do not link by
+it, and rows with a null id link like others and carry links on. A component is named by
+the smallest id in it; it stays null where no row of the component has one.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ class _WordHashes(dict):
     """Hashes of the words met so far; forgets all of them when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -113,7 +115,7 @@ def _minhashes(tokens: np.ndarray) -> list[int]:
 
 
 # ---- one row per document, and the common shingles -----------------------------------
-_PROFILE = "doc_id long, n long, digest binary, owner long, mins array<long>, tokens array<long>, counts array<long>"
+_PROFILE = "doc_id long, id long, n long, digest binary, owner long, mins array<long>, tokens array<long>, counts array<long>"
 
 
 def _counted(arrays: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -127,22 +129,22 @@ def _profile(words: int):
     def run(batches):
         shingle, out = Shingler(words), Output(_PROFILE)
         pending, waiting, seen = [], 0, set()
-        for doc_id, text in rows(batches, "doc_id", "text"):
+        for row, doc_id, text in rows(batches, "doc_id", "id", "text"):
             tokens = shingle(text)
             if not len(tokens):
-                yield from out.add(doc_id, 0, None, None, None, None, None)
+                yield from out.add(row, doc_id, 0, None, None, None, None, None)
                 continue
             digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-            yield from out.add(doc_id, len(tokens), digest, _owner(digest), _minhashes(tokens), None, None)
+            yield from out.add(row, doc_id, len(tokens), digest, _owner(digest), _minhashes(tokens), None, None)
             if digest not in seen:
                 seen.add(digest)
                 pending.append(tokens)
                 waiting += len(tokens)
             if waiting >= COUNTED:
-                yield from out.add(None, None, None, None, None, *_counted(pending))
+                yield from out.add(None, None, None, None, None, None, *_counted(pending))
                 pending, waiting, seen = [], 0, set()
         if pending:
-            yield from out.add(None, None, None, None, None, *_counted(pending))
+            yield from out.add(None, None, None, None, None, None, *_counted(pending))
         yield from out.flush()
 
     return run
@@ -347,7 +349,9 @@ def open_groups(docs: DataFrame, candidates: DataFrame, members: DataFrame, word
         .select("grp", "node", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.pmod(hashed, "parts").alias("part"))
     )
     placed = staged(queries.unionByName(stored), "cells")
-    found = pruned(docs, "doc_id", placed.select("node")).withColumnRenamed("doc_id", "node")
+    # A row that stands several times is read once.
+    found = pruned(docs.select("doc_id", "text"), "doc_id", placed.select("node"))
+    found = found.groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text"))
     cells = (
         placed.join(found, "node")
         .repartition("grp", "part", "slot")
@@ -360,7 +364,9 @@ def open_groups(docs: DataFrame, candidates: DataFrame, members: DataFrame, word
 # ---- the join --------------------------------------------------------------------------------
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row; see the module text."""
+    # Inside, a row goes by a key of its id and text; ids come back with the components.
     plain = texts(docs, id_col, text_col)
+    plain = plain.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.col("doc_id").alias("id"))
     spark = docs.sparkSession
     profile = staged(plain.mapInArrow(_profile(words), _PROFILE), "profile")
     described = profile.where("n is not null")
@@ -369,7 +375,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     classes = staged(
         described.where("n > 0").groupBy("digest", "owner").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")
+            F.min("doc_id").alias("rep"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("mins").alias("mins")
         ), "classes",
     )
     # Entries of 16 bytes; a query's end is about a quarter of its set.
@@ -381,7 +387,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = staged(open_groups(plain, _leaders(classes), _self_groups(classes), words), "stars")
     roots = components(stars)
     grouped = staged(
-        classes.select("rep", "owner", "n").where("rep is not null")
+        classes.select("rep", "owner", "n")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         .select("rep", "owner", "n", F.coalesce("root", "rep").alias("grp")), "grouped",
     )
@@ -393,23 +399,25 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ties = links.join(of, "member").select("query", F.col("grp").alias("b"))
     ties = ties.join(of.withColumnRenamed("member", "query"), "query").select(F.col("grp").alias("a"), "b")
     final = components(ties).withColumnsRenamed({"node": "grp", "root": "last"})
-    found = grouped.join(final, "grp", "left").select("rep", F.coalesce("last", "grp").alias("component_id")).distinct()
-    labels = classes.select("digest", "rep").join(found, "rep", "left").select("digest", "component_id")
+    found = grouped.join(final, "grp", "left").select("rep", F.coalesce("last", "grp").alias("root")).distinct()
+    labels = staged(classes.select("digest", "rep", "low").join(found, "rep", "left").select("digest", "low", "root"), "labels")
+    names = labels.groupBy("root").agg(F.min("low").alias("component_id"))
+    labels = labels.join(names, "root", "left").select("digest", "component_id")
     return described.join(labels, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
     """Classes with the smallest class that shares at least two minhash values with them."""
-    each = classes.where("rep is not null").select("rep", F.posexplode("mins").alias("at", "value"))
+    each = classes.select("rep", F.posexplode("mins").alias("at", "value"))
     leader = each.groupBy("at", "value").agg(F.min("rep").alias("grp"), F.count("*").alias("held")).where("held > 1")
     pairs = each.join(leader.drop("held"), ["at", "value"]).where("rep <> grp").groupBy("rep", "grp").count()
     return staged(pairs.where("count > 1").select(F.col("rep").alias("query"), "grp"), "leaders")
 
 
 def _self_groups(classes: DataFrame) -> DataFrame:
-    return classes.where("rep is not null").select(F.col("rep").alias("grp"), F.col("rep").alias("node"))
+    return classes.select(F.col("rep").alias("grp"), F.col("rep").alias("node"))
 
 
 def _candidates(entries: DataFrame, grouped: DataFrame) -> DataFrame:
