@@ -6,9 +6,12 @@ the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixweave.llm.arrow import given_back, small_batches
 from fixweave.llm.decontaminate import benchmark_hits
 from fixweave.llm.exact_dedup import exact_duplicates
 from fixweave.llm.language import UNDETERMINED, identify
@@ -26,42 +29,61 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
-def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose row is not among ``dropped`` (_row), each of which it names once."""
-    return without(keyed, "_row", staged(dropped.select("_row"), "dropped")).drop("_row")
+def _without(keyed: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Documents whose row is not among the rows (_row) that ``find`` names, each of them once.
+
+    These are stored first; then what the search shared with the executors is given back.
+    """
+    with given_back(), small_batches(keyed.sparkSession):
+        dropped = staged(find(keyed).select("_row"), "dropped")
+    return without(keyed, "_row", dropped).select(*[c for c in keyed.columns if c != "_row"])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told."""
-    keyed = _keyed(docs)
-    found = identify(keyed, F.col("lang").isNotNull(), keep=("_row",))
-    return _without(keyed, found.where(F.col("lang_pred") == UNDETERMINED))
+    """Drops documents in which no language can be told: those without a letter.
+
+    Where no document says its language nothing is learnt, and nothing is told of
+    any other; these stay.
+    """
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+    def find(keyed: DataFrame) -> DataFrame:
+        found = identify(keyed.withColumn("_letters", letters), F.col("lang").isNotNull(), keep=("_row", "_letters"))
+        return found.where((F.col("lang_pred") == UNDETERMINED) & ~F.col("_letters"))
+
+    return _without(_keyed(docs), find)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    keyed = _keyed(docs)
-    return _without(keyed, exact_duplicates(keyed, row_col="_row").where("not kept"))
+    return _without(_keyed(docs), lambda keyed: exact_duplicates(keyed, row_col="_row").where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked texts."""
-    keyed = _keyed(docs)
-    found = ngram_components(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
-    linked = staged(found.where("_row <> group"), "linked")
-    members = linked.unionByName(linked.select(F.col("group").alias("_row"), "group").distinct())
-    members = members.join(keyed.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
-    kept = members.groupBy("group").agg(first.alias("_row"))
-    return _without(keyed, members.select("_row").join(kept.select("_row"), "_row", "left_anti"))
+
+    def find(keyed: DataFrame) -> DataFrame:
+        found = ngram_components(keyed, id_col="_row")
+        found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+        linked = staged(found.where("_row <> group"), "linked")
+        members = linked.unionByName(linked.select(F.col("group").alias("_row"), "group").distinct())
+        members = members.join(keyed.select("_row", "doc_id"), "_row")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+        kept = members.groupBy("group").agg(first.alias("_row"))
+        return members.select("_row").join(kept.select("_row"), "_row", "left_anti")
+
+    return _without(_keyed(docs), find)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    keyed = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    found = benchmark_hits(keyed, items, id_col="_row").where(F.size("starts") > 0)
-    return _without(keyed, found.select(F.col("doc_id").alias("_row")))
+
+    def find(keyed: DataFrame) -> DataFrame:
+        found = benchmark_hits(keyed, items, id_col="_row").where(F.size("starts") > 0)
+        return found.select(F.col("doc_id").alias("_row"))
+
+    return _without(_keyed(docs), find)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
