@@ -30,7 +30,7 @@ _NAMES = """SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN '(anonymous)' WHEN 1 THE
 
 
 @query(
-    f"SELECT doc_id, name, coalesce(trim(name) <> '' AND lower(trim(name)) NOT IN ('(anonymous)', 'anonymous', '<anonymous>', 'unknown') AND regexp_matches(name, '[a-zA-Z][a-zA-Z]'), false) AS valid FROM ({_NAMES})"
+    f"SELECT doc_id, name, coalesce(trim(name) <> '' AND lower(trim(name)) NOT IN ({S.PLACEHOLDERS}) AND regexp_matches(name, '[a-zA-Z][a-zA-Z]'), false) AS valid FROM ({_NAMES})"
 )
 def valid_method_name(spark, sf_dir):
     base(spark, sf_dir, "documents").createOrReplaceTempView("documents")
@@ -276,7 +276,7 @@ STRICT = f"""{_span_rank('before', False)},
 chosen AS (SELECT {_KEY}, b.ord, trim(b.name) AS method_name, before_start, before_end, after_start, after_end, {S.choose('f.old_path', 'f.new_path')} AS file_path, source_before, source_after
  FROM before_best b JOIN after_best a USING ({_KEY}, ord) JOIN fx_source_file f USING ({_KEY})
  WHERE source_before <> '' AND source_after <> '' AND NOT {S.skip(S.choose('f.old_path', 'f.new_path'))}
- AND ({S.overlap(*_MATCH_BOUNDS)} > 0 OR {S.distance(*_MATCH_BOUNDS)} <= 15) AND lower(trim(b.name)) NOT IN ('(anonymous)', 'anonymous', '<anonymous>', 'unknown') AND regexp_matches(b.name, '[a-zA-Z][a-zA-Z]')
+ AND ({S.overlap(*_MATCH_BOUNDS)} > 0 OR {S.distance(*_MATCH_BOUNDS)} <= 15) AND lower(trim(b.name)) NOT IN ({S.PLACEHOLDERS}) AND regexp_matches(b.name, '[a-zA-Z][a-zA-Z]')
  AND before_start > 0 AND before_end >= before_start AND after_start > 0 AND after_end >= after_start),
 firsts AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY repo_url, commit_sha, file_path, method_name, before_start, before_end, after_start, after_end ORDER BY file_ord, ord) = 1),
 {_block_cte('v', 'source_before', 'before_start', 'before_end')},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fixweave.functions import code, paths
+
 # RE2 classes for Python's whitespace and line breaks.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
@@ -49,6 +51,7 @@ REFERENCES = f"""u AS (SELECT ord, state, cve_id, pos, r->>'url' AS url FROM (
 kinds AS (SELECT *, CASE WHEN p LIKE '%/commit/%' THEN 'commit' WHEN p LIKE '%/pull/%' THEN 'pull' WHEN p LIKE '%/security/advisories/%' THEN 'security-advisories' ELSE 'other' END AS kind
   FROM (SELECT *, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS p FROM u))"""
 
+# ---- fixed value: pattern of a commit link
 _LINK = r"https?://(github\.com|gitlab\.com|bitbucket\.org)/([^/\s]+)/([^/\s]+?)(?:\.git)?(?:/-)?/(?:commit|commits)/([0-9a-fA-F]{7,40})"
 
 
@@ -64,15 +67,13 @@ def link_columns(url: str) -> str:
 
 LINKS = f"{REFERENCES},\nlinks AS (SELECT * FROM (SELECT *, {link_columns('url')} FROM kinds WHERE kind = 'commit') WHERE commit_hash <> '')"
 
-SKIP_NAMES = (
-    "'readme','readme.md','readme.rst','readme.txt','changelog','changelog.md','changelog.rst','changelog.txt','license',"
-    "'license.md','license.txt','copying','code_of_conduct.md','contributing.md','security.md','release-notes.md'"
-)
-SKIP_EXT = "'.md','.rst','.txt','.adoc','.json','.yml','.yaml','.toml','.ini','.cfg','.log','.csv','.png','.jpg','.jpeg','.gif','.svg','.ico','.pdf'"
-SKIP_DIRS = (
-    "'docs','doc','.github','.vscode','.idea','examples','example','test','tests','__tests__','testing','tester','spec','specs',"
-    "'benchmark','benchmarks','dist','build','out','target','node_modules','vendor','grammars','generated'"
-)
+def listed(values: list[str]) -> str:
+    """The values of a fixed list as SQL texts."""
+    return ",".join(f"'{value}'" for value in values)
+
+
+SKIP_NAMES, SKIP_EXT, SKIP_DIRS = listed(paths.SKIPPED_NAMES), listed(paths.SKIPPED_EXTENSIONS), listed(paths.SKIPPED_FOLDERS)
+PLACEHOLDERS = listed(code.PLACEHOLDER_NAMES)
 
 
 def skip(path: str) -> str:
@@ -106,6 +107,7 @@ def distance(a: str, b: str, c: str, d: str) -> str:
     return DISTANCE.format(a=a, b=b, c=c, d=d)
 
 
+# ---- fixed values: left-over lines, and starts of control-flow blocks
 JUNK = rf"^{WS}*(?:\}}(?:;|{WS})*|%{{3,}}|#{WS}*(?:endif|else|if)(?:{NOT_WORD}.*)?|[/*]+{WS}*)$"
 BLOCK_START = (
     rf"^\}}?{WS}*(?:catch{WS}*\(|else{WS}*[\{{:]|else{WS}+if{WS}*\(|elif{WS}|except(?:{NOT_WORD}|$)|finally{WS}*[\{{:]|case{WS}+.+:|default{WS}*:)"
