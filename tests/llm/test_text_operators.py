@@ -81,22 +81,6 @@ def test_components_are_exact(docs):
         assert row["component_id"] == (None if row["doc_id"] is None else find(row["doc_id"]))
 
 
-def test_rows_are_documents_whatever_their_ids(spark):
-    words = [f"w{i}" for i in range(64)]
-    bridge = [(1, words), (None, words[:58]), (2, words[:52])]
-    twice = [(5, [f"a{i}" for i in range(30)]), (5, [f"b{i}" for i in range(30)]), (3, [f"b{i}" for i in range(30)])]
-    lone = [(None, [f"c{i}" for i in range(30)]), (None, [f"c{i}" for i in range(31)])]
-    rows = [(i, " ".join(w)) for i, w in bridge + twice + lone]
-    rows += [rows[0]] * 3 + [(7, None), (None, ""), (8, " ".join(f"s{i}" for i in range(900)))]
-    found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found)
-    assert got == sorted([
-        ("1", 60, "1"), ("1", 60, "1"), ("1", 60, "1"), ("1", 60, "1"), ("None", 54, "1"), ("2", 48, "1"), ("5", 26, "5"), ("5", 26, "3"),
-        ("3", 26, "3"), ("None", 26, "None"), ("None", 27, "None"), ("7", 0, "7"), ("None", 0, "None"), ("8", 896, "8"),
-    ])
-    assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (7, 7)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(i, 1) for i in range(2, 41)} | {(51, 50)}
@@ -239,21 +223,6 @@ def test_sparse_votes_equal_dense_ones():
         assert score == pytest.approx(1 / np.exp(scaled - scaled["xyz".index(found)]).sum())
 
 
-def test_benchmark_in_many_blocks(spark, docs, monkeypatch):
-    texts = [r[1] for r in sample_rows() if r[1] and 40 < len(r[1].split()) < 1000]
-    items = [(f"item {i}", text) for i, text in enumerate(texts[:9])] + [("a", "same row"), (None, "null id"), ("b", None)]
-    table = spark.createDataFrame(items, "item_id string, text string")
-
-    def found():
-        return sorted((str(r["doc_id"]), r["n_words"], r["starts"], r["ends"], r["item_ids"]) for r in benchmark_hits(docs, table).collect())
-
-    whole = found()
-    assert any(len(r[4]) > 1 for r in whole)
-    monkeypatch.setattr("fixweave.llm.decontaminate.BLOCK_BYTES", 700)
-    assert found() == whole
-    assert all(r[2] == [] for r in map(tuple, benchmark_hits(docs, table.limit(0)).select("doc_id", "n_words", "starts").collect()))
-
-
 EMAILS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
