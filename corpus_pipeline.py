@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,19 @@ from fixweave.session import staged
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Stored documents with a key of their own for each row, as ids may repeat or be null."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """Documents with a key of their own for each row, as ids may repeat or be null.
+
+    Stored documents go by their file and their place in it, so no copy is made.
+    """
+    try:
+        return docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return _numbered(docs)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A stored copy of the documents with a key for each row, in the order of the rows."""
     return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
@@ -51,16 +63,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         found = identify(keyed.withColumn("_letters", letters), F.col("lang").isNotNull(), keep=("_row", "_letters"))
         return found.where((F.col("lang_pred") == UNDETERMINED) & ~F.col("_letters"))
 
-    return _without(_keyed(docs), find)
+    return _without(_placed(docs), find)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _without(_keyed(docs), lambda keyed: exact_duplicates(keyed, row_col="_row").where("not kept"))
+    return _without(_placed(docs), lambda keyed: exact_duplicates(keyed, row_col="_row").where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked texts."""
+    """Keeps the document with the smallest id of each group of linked texts.
+
+    Earlier rows lead the groups in which the join looks first, so rows are
+    numbered in their order.
+    """
 
     def find(keyed: DataFrame) -> DataFrame:
         found = ngram_components(keyed, id_col="_row")
@@ -72,7 +88,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         kept = members.groupBy("group").agg(first.alias("_row"))
         return members.select("_row").join(kept.select("_row"), "_row", "left_anti")
 
-    return _without(_keyed(docs), find)
+    return _without(_numbered(docs), find)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +99,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         found = benchmark_hits(keyed, items, id_col="_row").where(F.size("starts") > 0)
         return found.select(F.col("doc_id").alias("_row"))
 
-    return _without(_keyed(docs), find)
+    return _without(_placed(docs), find)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
