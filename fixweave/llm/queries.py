@@ -161,7 +161,7 @@ def spans_digest(found):
         "doc_id",
         *[F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform(spans, said), ",").alias("spans"),
+        F.array_join(F.transform(spans, said), ",").alias("spans"), F.size(spans).cast("long").alias("n_spans"),
     )
 
 
