@@ -41,6 +41,19 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
+# Ids below the first bound keep their order in a key; the bits below them tell rows that share an id apart.
+_ORDERED, _APART = 1 << 34, 28
+
+
+def _by_id(keyed: DataFrame) -> DataFrame:
+    """Keys in the order of the ids; rows without an id, or with one out of bounds, come last."""
+    mark, doc_id = F.xxhash64("_row"), F.col("doc_id").cast("long")
+    apart = mark.bitwiseAND(F.lit((1 << _APART) - 1))
+    ordered = F.shiftleft(doc_id, _APART).bitwiseOR(apart)
+    last = F.shiftrightunsigned(mark, 2).bitwiseOR(F.lit(1 << 62))
+    return keyed.withColumn("_row", F.when((doc_id >= 0) & (doc_id < _ORDERED), ordered).otherwise(last))
+
+
 def _without(keyed: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Documents whose row is not among the rows (_row) that ``find`` names, each of them once.
 
@@ -74,8 +87,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked texts.
 
-    Earlier rows lead the groups in which the join looks first, so rows are
-    numbered in their order.
+    The join looks first at the least key of a group of candidates, so keys keep
+    the order of the ids.
     """
 
     def find(keyed: DataFrame) -> DataFrame:
@@ -88,7 +101,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         kept = members.groupBy("group").agg(first.alias("_row"))
         return members.select("_row").join(kept.select("_row"), "_row", "left_anti")
 
-    return _without(_numbered(docs), find)
+    return _without(_by_id(_placed(docs)), find)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
