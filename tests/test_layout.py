@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixweave import schemas
-from fixweave.frames import pruned
+from fixweave.frames import large, pruned
 from fixweave.operators import audit, dataset, lookups, merge, methods, model
 from fixweave.plans.enrich import BAD_DIFF, BAD_SOURCE, Landed, enrich_commits
 from fixweave.plans.ingest import ingest_release
@@ -294,3 +294,26 @@ def test_landing_goes_on_where_it_stopped(spark, tmp_path):
     assert landing.land_records(spark, str(root), target) == 1
     newest = landing.scan_landed(spark, target).where(F.col("entry") == names[0]).orderBy(F.desc("modified")).first()
     assert newest["value"] == "changed since"
+
+
+def _broadcasts(df):
+    """What the joins of a plan send through the driver, as the planner would have it before any row is read."""
+    return [line for line in df._jdf.queryExecution().toString().splitlines() if "BroadcastExchange" in line]
+
+
+def test_packed_spans_are_not_broadcast(spark):
+    # 200,000 rows in a few KB of files: the planner takes them for a small table.
+    file = ["'r' AS repo_url", "'s' AS commit_sha"]
+    spans = staged(spark.range(200_000).selectExpr(*file, "id div 50000 AS file_ord", "'before' AS side", "1L AS ord"), "spans")
+    files = staged(spark.range(4).selectExpr(*file, "id AS file_ord", "'a' AS source_before", "'b' AS source_after"), "files")
+    sourced = methods.attach_source(spans, files)
+    assert len(_broadcasts(sourced)) == 1, "more than the bitmap of the files"
+    assert sourced.count() == 200_000
+    assert not _broadcasts(spans.join(large(files), ["repo_url", "commit_sha", "file_ord"]))
+    assert _broadcasts(spans.join(files, ["repo_url", "commit_sha", "file_ord"]))
+
+
+def test_bitmap_of_wanted_keys_is_bounded():
+    from fixweave import frames
+
+    assert 1 << frames._MOST_BITS <= 8 * 256 * 1024
