@@ -22,12 +22,17 @@ def severity_counts(cve: DataFrame) -> DataFrame:
 def cve_commit_lookup(cve: DataFrame, links: DataFrame, commits: DataFrame) -> DataFrame:
     """Records with their stored fix commits; filter on either side as needed.
 
-    Filters given by the caller reach all three scans, since every join is on a key.
+    Filters given by the caller reach all three scans, since every join is on a key. Links
+    meet their commits first: where records share an id, the rows that this makes are not
+    shuffled once more.
     """
     named = commits.select(
         "repo_url", F.col("sha").alias("commit_sha"), "commit_date", "author", "message"
     )
-    return cve.join(links, "cve_id").join(named, ["repo_url", "commit_sha"])
+    linked = links.join(named, ["repo_url", "commit_sha"])
+    found = cve.join(linked, "cve_id")
+    own = [name for name in (*cve.columns, *links.columns) if name not in ("cve_id", "repo_url", "commit_sha")]
+    return found.select("repo_url", "commit_sha", "cve_id", *own, "commit_date", "author", "message")
 
 
 def commits_by_date(commits: DataFrame, first: str, last: str) -> DataFrame:

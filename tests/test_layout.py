@@ -317,3 +317,14 @@ def test_bitmap_of_wanted_keys_is_bounded():
     from fixweave import frames
 
     assert 1 << frames._MOST_BITS <= 8 * 256 * 1024
+
+
+def test_lookup_meets_commits_before_records(spark):
+    cve = spark.createDataFrame([("CVE-1", f"t{i}") for i in range(3)], "cve_id string, title string")
+    links = spark.createDataFrame([("CVE-1", "r", f"s{i % 2}", f"u{i}") for i in range(3)], "cve_id string, repo_url string, commit_sha string, commit_url string")
+    commits = spark.createDataFrame([("r", "s0", "d", "a", "m")], "repo_url string, sha string, commit_date string, author string, message string")
+    found = lookups.cve_commit_lookup(cve, links, commits)
+    assert found.columns == ["repo_url", "commit_sha", "cve_id", "title", "commit_url", "commit_date", "author", "message"]
+    assert sorted(r["title"] + r["commit_url"] for r in found.collect()) == sorted(f"t{i}u{j}" for i in range(3) for j in (0, 2))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "cve_id" in joins[0]
