@@ -178,9 +178,8 @@ both_sides AS (SELECT b.*, after_ord, after_start, after_end FROM before b JOIN
     SPAN,
 )
 def pair_match(spark, sf_dir):
-    place = ["file_ord", "ord"]
-    after = _after(spark, sf_dir).select(*place, "after_ord", "after_start", "after_end")
-    return pairing.pair_match(_before(spark, sf_dir).join(after, place))
+    spans = fixture(spark, sf_dir, "fx_method_span")
+    return pairing.pair_match(pairing.pair_sides(_spans(spark, sf_dir, "changed"), spans, ["file_ord"]))
 
 
 @query(
