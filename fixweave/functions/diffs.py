@@ -1,8 +1,9 @@
 """Unified-diff expressions.
 
-Counting and cutting is done by regular expressions anchored at line starts, so
-a diff is never exploded or turned into an array of all of its lines: the work
-stays inside one generated projection and needs no shuffle.
+Counting is done by the bytes that dropping a line start takes away, cutting by
+regular expressions anchored at line starts, so a diff is never exploded or turned
+into an array of all of its lines: the work stays inside one generated projection
+and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fixweave.functions.pytext import LINE_BODY, LINE_START
+from fixweave.functions.pytext import LINE_BODY, LINE_START, one_byte_breaks
 
 # ---- fixed values: line starts that are diff headers, not content
 META_PREFIXES = [
@@ -24,16 +25,19 @@ _ADDED = r"\+(?!\+\+)"
 _REMOVED = r"-(?!--)"
 
 
-def _count(diff: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(diff, F.lit(LINE_START + pattern)), F.lit(0))
+def _count(diff: Column, prefix: str) -> Column:
+    """Lines that start with ``prefix``: a plain search, as a look-behind at every character is slow."""
+    lines, start = F.concat(F.lit("\n"), one_byte_breaks(diff)), "\n" + prefix
+    dropped = F.octet_length(lines) - F.octet_length(F.replace(lines, F.lit(start), F.lit("")))
+    return F.coalesce((dropped / len(start)).cast("int"), F.lit(0))
 
 
 def added_lines(diff: Column) -> Column:
-    return _count(diff, _ADDED)
+    return _count(diff, "+") - _count(diff, "+++")
 
 
 def removed_lines(diff: Column) -> Column:
-    return _count(diff, _REMOVED)
+    return _count(diff, "-") - _count(diff, "---")
 
 
 def hunk_count(diff: Column) -> Column:

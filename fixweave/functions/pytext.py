@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BREAK_CHARS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_BREAK = rf"\r\n|[{BREAK_CHARS}]"
 OTHER_BREAK = rf"\r\n|[{BREAK_CHARS}&&[^\n]]"
+_OTHER_BREAK_CHAR = rf"[{BREAK_CHARS.removeprefix(chr(92) + 'n')}]"
 LINE_START = rf"(?<![^{BREAK_CHARS}])"
 LINE_BODY = rf"[^{BREAK_CHARS}]*"
 
@@ -48,6 +49,11 @@ def plain_breaks(text: Column) -> Column:
     return F.regexp_replace(text, OTHER_BREAK, "\n")
 
 
+def one_byte_breaks(text: Column) -> Column:
+    """``text`` with the same line starts, where every break ends in a line feed; mostly the text itself."""
+    return F.when(text.rlike(_OTHER_BREAK_CHAR), F.regexp_replace(text, _OTHER_BREAK_CHAR, "\n")).otherwise(text)
+
+
 def raw_lines(text: Column) -> Column:
     """Lines of ``text``, with one extra ``''`` when it is empty or ends in a break.
 
