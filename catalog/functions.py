@@ -158,7 +158,7 @@ def pair_after(spark, sf_dir):
 
 @query(f"{_BEFORE}\nSELECT * FROM before", SPAN)
 def pair_before_wide(spark, sf_dir):
-    """The search for wide name groups, used for all groups."""
+    """The search for wide name groups, used for all groups; these tables hold none that it cuts into blocks."""
     return _before(spark, sf_dir, wide_from=0)
 
 
