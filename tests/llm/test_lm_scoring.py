@@ -194,3 +194,73 @@ def test_score_texts_by_brute_force(spark):
 def test_score_texts_without_training_rows(spark):
     check_scores(spark, [(i, t) for i, t in made_rows(60) if held(i)])
     assert lm.score_texts(spark.createDataFrame([], SCHEMA), RANKS).collect() == []
+
+
+def test_batches_get_exact_counts_of_all_pairs_and_triples(spark, monkeypatch):
+    # Many batches and buckets, and texts that only held-out rows have.
+    for name, value in (("NUMBERED", 800), ("BUCKET_BYTES", 900), ("GRAM_BYTES", 700)):
+        monkeypatch.setattr(lm, name, value)
+    rows, subwords = made_rows(60), lm.Subwords(RANKS)
+    rows = [r for r in rows if r[0] != 1004]
+    pairs, triples = Counter(), Counter()
+    for doc_id, text in rows:
+        if not held(doc_id):
+            ids = [subwords.end, *subwords((text or "").encode().lower().split()).tolist()]
+            pairs.update(a << 16 | b for a, b in zip(ids, ids[1:]))
+            triples.update(a << 32 | b << 16 | c for a, b, c in zip(ids, ids[1:], ids[2:]))
+    after_one, after_two = Counter(p >> 16 for p in pairs), Counter(t >> 16 for t in triples)
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA).repartition(3)
+    plain = lm.texts(df, held_out=lm.held_out(lm.F.col("doc_id")))
+    parts, opened, _, known, _ = lm.counted(plain, RANKS)
+    discount = lm.DISCOUNT
+
+    def told(batches):
+        for batch in opened(batches):
+            c = batch.counts
+            left = np.round((1 - c.pair_left) * c.pair_count, 6)
+            yield lm.record_batch("kind int, key long, n long, after double", np.full(len(c.pair), 2), c.pair, c.pair_count.astype(int), c.pair_count - left)
+            whole = c.pair[c.triple >> 16] << 16 | c.triple & 0xFFFF
+            yield lm.record_batch("kind int, key long, n long, after double", np.full(len(whole), 3), whole, c.triple_count.astype(int), np.zeros(len(whole)))
+
+    found = parts.mapInArrow(told, "kind int, key long, n long, after double").collect()
+    assert parts.where("kind = 0").count() > 5
+    assert {r["key"] for r in found if r["kind"] == 2} >= set(pairs) and {r["key"] for r in found if r["kind"] == 3} >= set(triples)
+    for r in found:
+        assert r["n"] == (pairs if r["kind"] == 2 else triples)[r["key"]]
+        if r["kind"] == 2 and r["n"]:
+            assert r["after"] == pytest.approx(discount * after_two[r["key"]], abs=1e-4)
+    types = known.value[1]
+    assert {i: n for i, n in enumerate(types.tolist()) if n} == dict(after_one)
+    known.close()
+    check_scores(spark, rows)
+
+
+def test_no_cap_on_pairs_and_triples(spark):
+    # More than 2 ** 19 triples, all of them three times: none may be forgotten.
+    rng = random.Random(8)
+    made = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4_000)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(made * 3)], SCHEMA).repartition(4)
+    found = lm.score_texts(df, RANKS, learn_not=lm.F.lit(False)).collect()
+    subwords = lm.Subwords(RANKS)
+    ids = 3 * sum(len(subwords(t.encode().split())) for t in made)
+    assert ids / 3 > 1 << 19 and sum(r["score"] for r in found) / ids > -1.5
+
+
+def test_small_tables_are_whole_or_refused(spark):
+    with pytest.raises(ValueError, match="score_texts"):
+        lm.gram_counts(ids_table(spark, made_rows(20)), lm.Subwords(RANKS).size, held=10)
+
+
+def test_words_of_odd_texts():
+    rng = random.Random(9)
+    pieces = [b"A", b"b", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x00", b"\x85", b"\xff", "\u00e9".encode(), "\u00c9\u00a0".encode(), b"  "]
+    for _ in range(200):
+        some = [b"".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        found, words, lengths = lm._words(some)
+        expected = [[*text.lower().split(), None] for text in some]
+        assert [[None, *found][w] for w in words] == [w for text in expected for w in text]
+        assert lengths.tolist() == list(map(len, expected)) and len(set(found)) == len(found)
+    subwords = lm.Subwords(RANKS)
+    odd = [b"hello", "\u4e2d\u6587".encode(), b"x" * 700, b"\xff\xfe", b"_", "\u00a0".encode()]
+    ids, spans = subwords.spelled(odd)
+    assert [part.tolist() for part in np.split(ids, np.cumsum(spans)[:-1])] == [subwords([word])[:-1].tolist() for word in odd]
