@@ -87,6 +87,72 @@ def test_windows_score_each_id_once():
         assert (inputs[:, lm.WINDOW - lm.STRIDE:][valid] == targets[valid] - 1).all()
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    texts = texts_of(random.Random(10), 30) + [np.arange(n, dtype=np.int32) for n in (31, 32, 33, 64, 200)]
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    terms = np.random.default_rng(11).random((len(ids), 2)).astype(np.float32)
+    inputs, targets, padded = lm.with_terms(ids, lengths, terms)
+    alone = [lm.windows(t) for t in texts]
+    assert (inputs == np.concatenate([a for a, _ in alone])).all() and (targets == np.concatenate([b for _, b in alone])).all()
+    valid = targets >= 0
+    assert (targets[valid] == ids).all() and (padded[valid] == terms).all() and (padded[~valid] == 1).all()
+
+
+def test_states_compute_only_what_they_see():
+    rng = random.Random(12)
+    texts = texts_of(rng, 10) + [np.array([rng.randrange(11) for _ in range(100)] + [11], np.int32)]
+    counts = counts_of(texts)
+    model, noise = lm.Attention(counts), np.random.default_rng(13)
+    p = model.p = {k: v + noise.normal(size=v.shape) * 0.3 for k, v in model.p.items()}
+    inputs, targets, terms = map(np.concatenate, zip(*lm.windowed(texts, counts)))
+    found, kept = model.states(inputs, keep=True)
+    # Neither embeddings nor gradients are made for places that every state is blind to.
+    assert kept[0].shape[1] < lm.WINDOW and lm.WINDOW - lm.STRIDE < kept[0].shape[1]
+    touched = model.step(inputs[-1:], targets[-1:], terms[-1:])[1]["embed"][0]
+    assert set(touched.tolist()) <= set(inputs[-1, :kept[0].shape[1]].tolist()) | {model.start}
+    for window, states in zip(inputs, found):
+        for block, state in enumerate(states):
+            at = lm.WINDOW - lm.STRIDE + block * lm.BLOCK
+            x = p["embed"][np.where(window < 0, model.start, window)] + p["place"]
+            open_ = [j for j in range(at + 1) if window[j] >= 0 or j == at or window[j + 1] >= 0]
+            weights = np.array([math.exp((x[at] @ p["q"]) @ (x[j] @ p["k"]) / lm.SIZE**0.5) for j in open_])
+            y = (weights / weights.sum()) @ (x[open_] @ p["v"])
+            assert state == pytest.approx(np.tanh(y + x[at] @ p["skip"]), abs=1e-5)
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_tables_hold_the_terms_of_each_id(counted):
+    texts = texts_of(random.Random(14), 60)
+    counts, ids = counts_of(texts), np.concatenate(texts).astype(np.int64)
+    lengths = np.array([len(t) for t in texts])
+    pairs, _, inner = lm.grams(ids, lengths)
+    at = np.searchsorted(counts.pair, pairs)
+    third = np.searchsorted(counts.triple, at[:-1][inner[1:]] << 16 | ids[inner])
+    last = np.zeros(len(counts.triple), np.int64)
+    last[third] = at[inner]
+    one, two = counts.tables(last, counted)
+    expected = counts.terms(ids, np.cumsum(lengths) - lengths, counted)
+    assert (one[at] == expected[:, 0]).all() and (two[third] == expected[inner, 1]).all() and (one[at[~inner]] == expected[~inner, 1]).all()
+
+
+def test_memory_is_given_back_once_for_many_rows(monkeypatch):
+    calls = []
+    given = lm.rows
+    monkeypatch.setattr(lm, "rows", lambda *args: calls.append(1) or given(*args))
+    batch = lm.pa.RecordBatch.from_pydict({"n": list(range(500)), "text": [b"x", None] * 250})
+    assert list(lm._one_by_one([batch], "text", "n")) == [(None if i % 2 else b"x", i) for i in range(500)]
+    assert len(calls) <= 2
+
+
+def test_placed_keys():
+    rng = np.random.default_rng(15)
+    for high, count in ((5, 0), (5, 1), (40, 300), (1 << 62, 300)):
+        keys = rng.integers(0, high, count)
+        keys = np.r_[keys, keys[: count // 2]]
+        distinct, places = lm._placed(keys.copy())
+        assert (distinct == np.unique(keys)).all() and (distinct[places] == keys).all()
+
+
 def test_gradients_by_differences():
     rng = random.Random(3)
     texts = texts_of(rng, 12) + [np.array([rng.randrange(11) for _ in range(90)] + [11], np.int32)]
