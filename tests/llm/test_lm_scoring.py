@@ -120,6 +120,36 @@ def test_states_compute_only_what_they_see():
             assert state == pytest.approx(np.tanh(y + x[at] @ p["skip"]), abs=1e-5)
 
 
+@pytest.mark.parametrize("scale", [0.3, 30.0])
+def test_every_scored_place_has_a_state_of_its_own(scale):
+    rng = random.Random(16)
+    texts = texts_of(rng, 6) + [np.array([rng.randrange(11) for _ in range(100)] + [11], np.int32)]
+    counts = counts_of(texts)
+    model, noise = lm.Attention(counts), np.random.default_rng(17)
+    # Weights so large that exponentials would overflow are met as well.
+    p = model.p = {k: v + noise.normal(size=v.shape) * scale for k, v in model.p.items()}
+    inputs, targets, terms = map(np.concatenate, zip(*lm.windowed(texts, counts)))
+    found, lead = model.states(inputs), lm.WINDOW - lm.STRIDE
+    assert found.shape == (len(inputs), lm.STRIDE, lm.OUT) and (model.hidden(inputs) == found).all()
+    for window, states, valid in zip(inputs, found, targets >= 0):
+        x = p["embed"][np.where(window < 0, model.start, window)] + p["place"]
+        for place in np.flatnonzero(valid):
+            at = lead + place
+            open_ = [j for j in range(at + 1) if window[j] >= 0 or j == at or window[j + 1] >= 0]
+            scores = (x[open_] @ p["k"]) @ (x[at] @ p["q"]) / lm.SIZE**0.5
+            weights = np.exp(scores - scores.max())
+            y = (weights / weights.sum()) @ (x[open_] @ p["v"])
+            assert states[place] == pytest.approx(np.tanh(y + x[at] @ p["skip"]), abs=1e-5)
+    # Another id changes what is said at its own place and after it, and nothing before it.
+    full = np.flatnonzero((targets >= 0).all(1))[0]
+    for place in (0, 1, 15, lm.STRIDE - 1):
+        changed = inputs[full:full + 1].copy()
+        changed[0, lead + place] = (changed[0, lead + place] + 1) % 11
+        differs = np.abs(model.states(changed)[0] - found[full]).max(1) > 1e-9
+        assert differs[place] and not differs[:place].any()
+    assert np.isfinite(model.logs(found[targets >= 0], targets[targets >= 0], terms[targets >= 0])).all()
+
+
 @pytest.mark.parametrize("counted", [False, True])
 def test_tables_hold_the_terms_of_each_id(counted):
     texts = texts_of(random.Random(14), 60)
