@@ -313,6 +313,25 @@ def test_packed_spans_are_not_broadcast(spark):
     assert _broadcasts(spans.join(files, ["repo_url", "commit_sha", "file_ord"]))
 
 
+def test_landed_texts_are_packed(spark, tmp_path):
+    import random
+
+    from catalog.fixtures import fixture
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    made = [(i, "\n".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(30)), "en", f"s{i % 7}") for i in range(600)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def size(files):
+        return sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+
+    landed = fixture(spark, str(tmp_path), "fx_source_file")
+    assert landed.count() == 600 and all(".zstd." in f for f in landed.inputFiles())
+    # Three texts a file, one of them a diff; the join moves two of them once more.
+    assert size(landed.inputFiles()) < 2.4 * size(spark.read.parquet(f"{tmp_path}/documents.parquet").inputFiles())
+
+
 def test_bitmap_of_wanted_keys_is_bounded():
     from fixweave import frames
 
