@@ -296,6 +296,45 @@ def test_landing_goes_on_where_it_stopped(spark, tmp_path):
     assert newest["value"] == "changed since"
 
 
+def test_no_names_of_records_reach_the_driver(spark, tmp_path, monkeypatch):
+    from fixweave.sources import landing
+
+    root, target = tmp_path / "records", str(tmp_path / "landed")
+    names = [f"cves/{n % 3}/{n % 2}/CVE-{n}.json" for n in range(40)]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    collected, loaded, frame, reader = [], [], type(spark.range(1)), type(spark.read)
+    collect, load, text = frame.collect, reader.load, reader.text
+    monkeypatch.setattr(frame, "collect", lambda df: collected.append(collect(df)) or collected[-1])
+    monkeypatch.setattr(reader, "load", lambda *args, **kw: loaded.append("load") or load(*args, **kw))
+    monkeypatch.setattr(reader, "text", lambda *args, **kw: loaded.append("text") or text(*args, **kw))
+    assert landing.land_records(spark, str(root), target, slice_files=20) == 40
+    # Spark's readers list the files they are pointed at on the driver.
+    assert not loaded
+    assert sum(map(len, collected)) <= 2 and not any("CVE" in str(row) for found in collected for row in found)
+    found = collect(landing.scan_landed(spark, target))
+    assert sorted((r["entry"], r["value"], r["length"]) for r in found) == sorted((n, n, len(n)) for n in names)
+
+
+def test_odd_files_of_records(spark, tmp_path):
+    from fixweave.sources import landing
+
+    kept = ["cves/_a=1/CVE-1.json", "cves/x/y/z/CVE-2.JsOn", "CVES\\x\\CVE-3.JSON", "cves/CVE-\u00e9%41 +.json", "cves/_metadata/CVE-4.json", "cves/CVE-link.json"]
+    left = ["cves/_h/CVE-5.json", "cves/.h/CVE-6.json", "cves/.CVE-7.json", "cves/_CVE-8.json", "cves/CVE-9.json._COPYING_", "cves/CVE-10.txt", "_h\\cves\\CVE-11.json"]
+    for name in [*kept[:-1], *left]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    (tmp_path / "cves/CVE-12.json").write_text("")
+    os.symlink(tmp_path / kept[0], tmp_path / kept[-1])
+    os.symlink(tmp_path / "none", tmp_path / "cves/CVE-13.json")
+    os.utime(tmp_path / kept[1], ns=(10**18 + 123_456_789,) * 2)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = landing.list_records(spark, root).selectExpr("entry", "length", "unix_micros(modified) AS micros").collect()
+        assert sorted(r["entry"] for r in found) == sorted(kept) and {r["length"] for r in found} == {2}
+        assert [r["micros"] for r in found if r["entry"] == kept[1]] == [10**15 + 123_000]
+
+
 def _broadcasts(df):
     """What the joins of a plan send through the driver, as the planner would have it before any row is read."""
     return [line for line in df._jdf.queryExecution().toString().splitlines() if "BroadcastExchange" in line]
